@@ -1,0 +1 @@
+"""Versioned, multi-dimensional key-value analytics as Spark plans."""
