@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import shared_dir, staged
+from palimpsest.llm.common import shared_dir, slices, staged
 
 #: Ids in a sequence, sequences in a shard, rounds of the permutation.
 SEQUENCE, SHARD, ROUNDS = 2048, 4096, 6
@@ -81,13 +81,14 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
     Texts follow one another in the order of the partition, each with an end id;
     doc_ids and starts tell which texts begin or go on in a sequence and where.
     Only the last sequence of a partition is filled up with end ids; n_tokens are
-    its own. ids are little-endian 16-bit numbers.
+    its own. ids are little-endian 16-bit numbers, compressed (``unpack_ids``).
     """
     end = tokenizer.end
     if end >= 1 << 16:
         raise ValueError("ids do not fit 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
         encode, part = tokenizer.load().encode_ordinary, TaskContext.get().partitionId()
@@ -112,15 +113,15 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
                 if stop > n * sequence:
                     after.append((doc, max(0, start - n * sequence), stop - n * sequence))
             data = body.astype("<u2").tobytes()
-            stride = 2 * sequence
+            stride, squeeze = 2 * sequence, zstandard.ZstdCompressor(level=3).compress
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array([data[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())],
+                [pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array([squeeze(data[i * stride : (i + 1) * stride]) for i in range(n)], pa.binary())],
                 ["part", "seq", "n_tokens", "doc_ids", "starts", "ids"],
             )
             held, spans, size, seq = [rest], after, len(rest), seq + n
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*encode(text), end] if text else [end], np.uint16)
                 held.append(ids)
@@ -134,6 +135,13 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
     return texts.mapInArrow(run, "part int, seq long, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
 
 
+def unpack_ids(data: bytes) -> bytes:
+    """The ids of a packed sequence."""
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int = 17, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
     """Write the shards; (slot, shard, offset, n_tokens, crc, doc_ids, starts) of each sequence.
 
@@ -143,7 +151,7 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
     with a null doc_id are written like others; an empty table writes nothing.
     Packing follows the partitions of the input, and the same input is packed alike.
     """
-    packed = staged(pack(docs, tokenizer, sequence), "packed")
+    packed = staged(pack(docs, tokenizer, sequence), "packed", codec="uncompressed")
     # one number for each input partition comes to the driver
     counts = sorted((r["part"], r["n"]) for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
@@ -185,7 +193,7 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
                     number = int(shards[lo])
                     name = f"{root}/.shard-{number:06d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
-                data = [x.as_buffer() for x in batch.column(5).slice(lo, hi - lo)]
+                data = [unpack_ids(x.as_buffer()) for x in batch.column(5).slice(lo, hi - lo)]
                 for x in data:
                     out.write(x)
                 slots = batch.column(0).slice(lo, hi - lo)
