@@ -32,6 +32,11 @@ def lineage(log: DataFrame, versions: DataFrame, version: int | None = None) ->
     return log.join(F.broadcast(pairs), "v")
 
 
+def matching(log: DataFrame, version: int) -> DataFrame:
+    """The entries written at exactly one version; the equality reaches the scan."""
+    return log.where(F.col("v") == version)
+
+
 def newest(rows: DataFrame, by: list[str], timestamped: bool = False) -> DataFrame:
     """The winning row of each group: greatest seq, or greatest (uts, seq)."""
     order = ["uts", "seq"] if timestamped else ["seq"]

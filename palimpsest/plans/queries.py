@@ -121,6 +121,11 @@ def range_page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.page(rows, KEYS, 25, [4, 3]).select("d0", "d1", "n")
 
 
+@query(sql("SELECT seq, d0, d1, op, n FROM log WHERE v = 6"))
+def scan_matching_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.matching(log(spark, sf_dir), 6).select("seq", *KEYS, "op", "n")
+
+
 # keys
 
 
@@ -273,6 +278,19 @@ def counter_one_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.count(log(spark, sf_dir, counters=True).where("v = 2"), KEYS).where(F.col("op") != TOMBSTONE)
 
 
+@query(
+    sql(
+        """, b AS (SELECT *, max(CASE WHEN op <> 'COUNTER_ADD' THEN seq END) OVER (PARTITION BY d0, d1, v) AS bs FROM log)
+SELECT d0, d1, CAST(v AS BIGINT) AS v, max(bs) AS base_seq, CAST(sum(CASE WHEN op = 'COUNTER_ADD' AND seq > coalesce(bs, -1) THEN n ELSE 0 END) AS BIGINT) AS added FROM b GROUP BY d0, d1, v""",
+        counters=True,
+    ).replace(")\n, b AS", "),\nb AS")
+)
+def counter_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each key and version as one composite: the last base and the sum behind it."""
+    parts = resolve.fold_pieces(log(spark, sf_dir, counters=True), ["v", *KEYS], 1)
+    return parts.select(*KEYS, "v", F.col("base.seq").alias("base_seq"), "added")
+
+
 @query(_count_sql("(SELECT * FROM anc WHERE qv = 7 AND data_age >= 2)", _COUNTED))
 def counter_multi_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.counters(log(spark, sf_dir, counters=True).where("data_age >= 2"), versions(spark), KEYS, 7).select(*KEYS, "op", "n")
@@ -345,6 +363,19 @@ def deleted_version_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.collect_deleted(_distinct(spark, sf_dir), versions(spark, (3, 5)), KEYS).select("seq", *KEYS, "v")
 
 
+@query(
+    _merge_sql(
+        f""", kept AS ({_NEEDED.replace(" SELECT seq, d0, d1, v FROM e", "SELECT seq FROM e")})
+SELECT CAST(v AS BIGINT) AS v, CAST(count(*) AS BIGINT) AS version_deletes, CAST(0 AS BIGINT) AS timestamp_rejects FROM e WHERE seq NOT IN (SELECT seq FROM kept) GROUP BY v""",
+        deleted=(3, 5),
+    )
+)
+def merge_discard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What collecting deleted versions 3 and 5 drops, by version."""
+    before, gone = _distinct(spark, sf_dir), versions(spark, (3, 5))
+    return stats.discard_stats(before, compaction.collect_deleted(before, gone, KEYS), KEYS, gone, timestamped=False)
+
+
 @query(_count_sql("(SELECT * FROM anc WHERE qv IN (1, 2, 4, 6, 7, 8))", "qv, " + _COUNTED))
 def counter_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters read from a merge that dropped versions 3 and 5: the same as from the whole log."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,13 @@ from palimpsest.operators import compaction, reads, resolve, stats
 from palimpsest.schema import COUNTER_ADD, COUNTER_SET, LOG, OPS, TOMBSTONE, VALUE, StoreError
 from palimpsest.versions import Version, VersionTree
 
-_EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": [], "merges": {}, "requests": {}}
+_EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": []}
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+        self.requests: Counter = Counter()  # (collection, kind), as this process has seen them
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -206,6 +208,7 @@ class Store:
         c = self._collection(s, name)
         if c["read_only"] or not self._tree(s, c["vertree"]).is_mutable(c["version"]):
             raise StoreError("EROFS", "the version is frozen")
+        self.requests[name, "puts"] += 1
         return self._append(s, c["vertree"], c["version"], rows, order)
 
     @staticmethod
@@ -276,24 +279,25 @@ class Store:
         paths = [a["path"] for a in s["arrays"].values() if a["vertree"] == vertree and not a["barrier"] and (newer_than is None or (a["max_uts"] or 0) > newer_than)]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
-    def _view(self, name: str) -> tuple[dict, dict, DataFrame, DataFrame, bool]:
+    def _view(self, name: str, kind: str) -> tuple[dict, dict, DataFrame, DataFrame, bool]:
         s = self.state()
         c = self._collection(s, name)
+        self.requests[name, kind] += 1
         tree = self._tree(s, c["vertree"])
         return s, c, self.log(c["vertree"], s), tree.frame(self.spark), s["vertrees"][str(c["vertree"])]["timestamped"]
 
     def get(self, name: str, dims: list[bytes], tombstones: bool = False) -> DataFrame:
-        _, c, log, versions, timestamped = self._view(name)
+        _, c, log, versions, timestamped = self._view(name, "gets")
         key = F.array(*(F.lit(bytearray(d)) for d in dims))
         return resolve.visible(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones)
 
     def multi_get(self, name: str, wanted: DataFrame) -> DataFrame:
-        _, c, log, versions, timestamped = self._view(name)
+        _, c, log, versions, timestamped = self._view(name, "gets")
         return reads.multi_get(log, versions, c["version"], wanted, ["dims"], timestamped)
 
     def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True) -> DataFrame:
         """Visible entries inside an inclusive box over keys of that many dimensions, in key order."""
-        _, c, log, versions, timestamped = self._view(name)
+        _, c, log, versions, timestamped = self._view(name, "range_queries")
         reads.check_bounds(low, low, high)
         log = log.where(F.size("dims") == len(low))
         for i, (lo, hi) in enumerate(zip(low, high)):
@@ -304,7 +308,7 @@ class Store:
         return out if values else out.select("dims")
 
     def read_counters(self, name: str) -> DataFrame:
-        _, c, log, versions, _ = self._view(name)
+        _, c, log, versions, _ = self._view(name, "range_queries")
         return resolve.counters(log, versions, ["dims"], c["version"])
 
     # merges
@@ -391,8 +395,9 @@ class Store:
         return self._rows(rows, "vertree long, root_version long, timestamped boolean, discard_s long, arrays int, item_count long, nr_bytes long, active_barrier long")
 
     def collections(self) -> DataFrame:
-        rows = [(c["id"], n, c["vertree"], c["version"], c["read_only"]) for n, c in self.state()["collections"].items()]
-        return self._rows(rows, "collection_id long, name string, vertree long, version long, read_only boolean")
+        """Collections, with the requests that this process has made to each."""
+        rows = [(c["id"], n, c["vertree"], c["version"], c["read_only"], *(self.requests[n, k] for k in ("gets", "puts", "range_queries"))) for n, c in self.state()["collections"].items()]
+        return self._rows(rows, "collection_id long, name string, vertree long, version long, read_only boolean, gets long, puts long, range_queries long")
 
     def events(self) -> DataFrame:
         return self._rows([tuple(e) for e in self.state()["events"]], "event_id long, ts long, cmd string, args array<long>")

@@ -56,7 +56,8 @@ def test_write_read_snapshot_clone(spark, store):
     store.merge(tree, arrays)
     assert store.arrays().count() == 1
     assert (content(store.scan("c", [None], [None])), content(store.scan("d", [None], [None]))) == before
-    assert {r["name"] for r in store.collections().collect()} == {"c", "d"}
+    asked = {r["name"]: (r["gets"], r["puts"], r["range_queries"]) for r in store.collections().collect()}
+    assert asked == {"c": (3, 2, 4), "d": (1, 1, 3)}
     assert store.vertrees().first()["arrays"] == 1
     assert store.versions(tree).count() == 3
     assert store.events().where("cmd = 'MERGE_WORK_FINISHED'").count() == 1
