@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import staged
+from palimpsest.llm.common import slices, staged, tokenizer
 from palimpsest.llm.lexicon import HEAD_TERMS, head
 
 #: Fixed value: the pre-tokens of the byte-level vocabulary. White space is spelt
@@ -22,7 +22,7 @@ from palimpsest.llm.lexicon import HEAD_TERMS, head
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Distinct pre-tokens that a task gathers before it passes them on.
-_GATHER = 400_000
+_GATHER = 200_000
 
 
 class PreTokens:
@@ -58,7 +58,7 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = PreTokens(specials), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(split.count(text)[0] if text else ())
                 if len(seen) > _GATHER:
@@ -70,14 +70,8 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        for batch in batches:
-            pieces = batch.column(0).to_pylist()
-            sizes: list[int] = []
-            for at in range(0, len(pieces), 2000):
-                sizes += [len(e.ids) for e in tokenizer.encode_batch(pieces[at : at + 2000], add_special_tokens=False)]
+        for batch in slices(batches, 2000):
+            sizes = [len(e.ids) for e in tokenizer(path).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["piece", "n", "n_tokens"])
 
     distinct = docs.select("text").mapInArrow(gather, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -101,7 +95,7 @@ def token_counts(docs: DataFrame, path: str, head_terms: int = HEAD_TERMS) -> Da
 
         split, get = PreTokens(specials), known.value.get
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sums, pieces, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found, special = split.count(text or "")
