@@ -1,15 +1,18 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 A trie of byte contexts holds how often each byte followed each context. A byte
-is coded in the longest context that has seen it; each context left on the way
+is coded in the longest context that the trie has; each context left on the way
 costs an escape (estimated from its number of distinct bytes), and bytes seen in
 a longer context are excluded from the shorter ones. Byte 0xFF, which UTF-8 never
 holds, pads the start and ends the text.
 
-The pretrained model keeps contexts of two bytes: its trie has at most 2**24
-leaves whatever the corpus, so that all log probabilities fit one table of 64 MB
-and a text is scored by gathering from it. The adaptive model (any order) starts
-from an empty trie with each document.
+The pretrained model counts contexts of up to four bytes over the whole training
+set. What travels to the workers is bounded: at most ``TRIE_PAIRS`` pairs of a
+context of two to four bytes and a next byte, of the contexts seen most often,
+and all shorter ones. Since every context holds the bytes seen after any longer
+one, what an exclusion takes away is one number a context, and scores come from
+hash tables in numpy arrays, level by level, for many texts at once. The adaptive
+model (any order) starts from an empty trie with each document.
 """
 
 from __future__ import annotations
@@ -17,18 +20,23 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import crc_mod, cut, staged
-from palimpsest.llm.lexicon import HEAD_TERMS, head
+from palimpsest.llm.common import crc_mod, slices, staged
+from palimpsest.llm.lexicon import HEAD_TERMS, count_class, head
 
 END = 0xFF
-ORDER = 2
-_GATHER = 400_000
+ORDER = 4
+#: Pairs (context of two bytes or more, next byte) of the trie that scores.
+TRIE_PAIRS = 1_000_000
+_GATHER = 200_000
+#: Bytes of text that are looked up together; longer texts go in parts.
+_WINDOW = 1 << 19
 #: The end of a text as a token of the word model; no word is empty.
 _END_WORD = b""
 
@@ -44,6 +52,11 @@ class Trie:
             seen = self.counts.setdefault(context[len(context) - k :], {})
             seen[symbol] = seen.get(symbol, 0) + 1
 
+    def learn(self, text: bytes) -> None:
+        data = bytes([END]) * self.order + text + bytes([END])
+        for i in range(self.order, len(data)):
+            self.add(data[i - self.order : i], data[i])
+
     def log10(self, context: bytes, symbol: int) -> float:
         """Log probability of a byte: escapes down the contexts, seen bytes excluded."""
         total, out = 0.0, set()
@@ -67,67 +80,207 @@ class Trie:
         return total
 
 
-def codes(text: bytes) -> np.ndarray:
-    """Each byte of a text with its two-byte context, as context * 256 + byte."""
-    b = np.frombuffer(b"\xff\xff" + text + b"\xff", np.uint8).astype(np.uint32)
-    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-
-
-def tabulate(code: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 P(byte | two-byte context) for all 2**24 codes, with escapes and exclusion."""
-    two = np.zeros(1 << 24, np.float32 if not len(n) or n.max() < 1 << 24 else np.float64)
-    two[code] = n
-    two = two.reshape(256, 256, 256)  # [older, newer, byte]
-    one = two.sum(axis=0, dtype=np.float64)
-    zero = one.sum(axis=0)
-    out = np.empty((256, 256, 256), np.float32)
-
-    def below(seen: np.ndarray, excluded: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Log probabilities of a context from its counts, where bytes in ``excluded`` don't occur."""
-        seen = np.where(excluded, 0.0, seen)
-        n, d = seen.sum(-1, keepdims=True), (seen > 0).sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.log10(seen / (n + d))
-            escape = np.where(d > 0, np.log10(d / (n + d)), 0.0)
-        return np.where(seen > 0, own, escape + lower)
-
-    for newer in range(256):
-        at2 = two[:, newer, :].astype(np.float64)
-        seen2 = at2 > 0
-        seen1 = np.broadcast_to(one[newer] > 0, at2.shape) | seen2
-        seen0 = np.broadcast_to(zero > 0, at2.shape) | seen1
-        left = np.maximum(256 - seen0.sum(-1, keepdims=True), 1)
-        log = np.broadcast_to(-np.log10(left), at2.shape)
-        log = below(np.broadcast_to(zero, at2.shape), seen1, log)
-        log = below(np.broadcast_to(one[newer], at2.shape), seen2, log)
-        out[:, newer, :] = below(at2, np.zeros_like(seen2), log)
-    return out.reshape(-1)
+def windows(texts: list[bytes], size: int = _WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, owners) of all bytes to code: four bytes of context and the byte, and the text's number.
+
+    Short texts share a window, a long one takes several.
+    """
+    at = 0
+    while at < len(texts):
+        end, total = at, 0
+        while end < len(texts) and (end == at or total + len(texts[end]) + ORDER + 1 <= size):
+            total += len(texts[end]) + ORDER + 1
+            end += 1
+        data = np.frombuffer(b"".join(bytes([END]) * ORDER + t + bytes([END]) for t in texts[at:end]), np.uint8)
+        starts = np.cumsum([0, *(len(t) + ORDER + 1 for t in texts[at:end])])
+        for lo in range(ORDER, len(data), size):
+            part = data[lo - ORDER : lo + size].astype(np.int64)
+            code = part[ORDER:].copy()
+            for k in range(1, ORDER + 1):
+                code |= part[ORDER - k : len(part) - k] << (8 * k)
+            place = np.arange(lo, lo + len(code))
+            owner = np.searchsorted(starts, place, side="right") - 1
+            real = place - starts[owner] >= ORDER
+            yield code[real], owner[real] + at
+        at = end
+
+
+class Table:
+    """An open-addressing hash table from distinct whole numbers to rows of float columns."""
+
+    def __init__(self, keys: np.ndarray, columns: list[np.ndarray]):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        row_of = np.zeros(1 << self.bits, np.int64)
+        rows, slots = np.arange(len(keys)), self._home(keys)
+        while len(rows):
+            free = self.keys[slots] < 0
+            _, first = np.unique(np.where(free, slots, -1), return_index=True)
+            won = np.zeros(len(rows), bool)
+            won[first] = True
+            won &= free
+            self.keys[slots[won]] = keys[rows[won]]
+            row_of[slots[won]] = rows[won]
+            rows, slots = rows[~won], (slots[~won] + 1) & ((1 << self.bits) - 1)
+        self.columns = [(c[row_of] if len(keys) else np.zeros(1 << self.bits)).astype(np.float32) for c in columns]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        slots = self._home(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, slots, -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at = (slots[open_] + 1) & ((1 << self.bits) - 1)
+            slots[open_] = at
+            held = self.keys[at]
+            out[open_] = np.where(held == keys[open_], at, -1)
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return out
+
+
+def _tag(code: np.ndarray, order: int) -> np.ndarray:
+    """Numbers of different orders kept apart."""
+    return code | (order << 48)
+
+
+@dataclass
+class Model:
+    """The trie as two tables: (context, byte) pairs, and contexts."""
+
+    pairs: Table  # log10 of: probability as the longest context; count
+    contexts: Table  # log10 of: escape as the longest context; rest behind an exclusion in the next shorter one; escape from that
+    floor: float
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        """Log probabilities of the bytes of ``windows``."""
+        out, rows = np.zeros(len(code)), np.arange(len(code))
+        above = np.full(len(code), -1)  # the context just left, whose bytes are excluded
+        for k in range(ORDER, -1, -1):
+            if not len(rows):
+                break
+            own = code[rows] & ((1 << (8 * (k + 1))) - 1)
+            slot = self.pairs.find(_tag(own, k))
+            hit, fresh = slot >= 0, above < 0
+            direct, behind = hit & fresh, hit & ~fresh
+            out[rows[direct]] += self.pairs.columns[0][slot[direct]]
+            out[rows[behind]] += self.pairs.columns[1][slot[behind]] - self.contexts.columns[1][above[behind]]
+            rows, above, own = rows[~hit], above[~hit], own[~hit]
+            if not len(rows):
+                break
+            context = self.contexts.find(_tag(own >> 8, k))
+            left = above >= 0
+            out[rows[left]] += self.contexts.columns[2][above[left]]
+            new = ~left & (context >= 0)
+            out[rows[new]] += self.contexts.columns[0][context[new]]
+            above = context
+        out[rows] += self.floor
+        return out
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        total = np.zeros(len(texts))
+        for code, owner in windows(texts):
+            total += np.bincount(owner, self.log10(code), len(texts))
+        return total
+
+
+def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The model of (code, count) pairs for each order from 0 on.
+
+    Every context's next shorter one must be there too, with all its bytes.
+    """
+    pair_keys, top, counts, context_keys, escape, rest, escape_on = [], [], [], [], [], [], []
+    below: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+    for k, (code, n) in enumerate(levels):
+        order = np.argsort(code)
+        code, n = code[order].astype(np.int64), n[order].astype(np.float64)
+        context, first, d = np.unique(code >> 8, return_index=True, return_counts=True)
+        total = np.add.reduceat(n, first) if len(n) else np.empty(0)
+        pair_keys.append(_tag(code, k))
+        top.append(np.log10(n / np.repeat(total + d, d)))
+        counts.append(np.log10(n))
+        context_keys.append(_tag(context, k))
+        escape.append(np.log10(d / (total + d)))
+        if below is None:
+            rest.append(np.zeros(len(context)))
+            escape_on.append(np.zeros(len(context)))
+        else:
+            b_code, b_n, b_context, b_total, b_d = below
+            same = b_n[np.searchsorted(b_code, code & ((1 << (8 * k)) - 1))] if len(code) else np.empty(0)
+            up = np.searchsorted(b_context, context & ((1 << (8 * (k - 1))) - 1)) if k else None
+            free_n = b_total[up] - (np.add.reduceat(same, first) if len(n) else np.empty(0))
+            free_d = b_d[up] - d
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rest.append(np.where(free_d > 0, np.log10(free_n + free_d), 0.0))
+                escape_on.append(np.where(free_d > 0, np.log10(free_d / (free_n + free_d)), 0.0))
+        below = code, n, context, total, d
+    whole = np.concatenate
+    seen = len(levels[0][0])
+    return Model(Table(whole(pair_keys), [whole(top), whole(counts)]), Table(whole(context_keys), [whole(escape), whole(rest), whole(escape_on)]), -math.log10(max(256 - seen, 1)))
 
 
 def _binary(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def context_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All (code, count) of the texts of ``docs``; at most 2**24 of them exist."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(code, n): how often each byte followed each four bytes, over all texts of ``docs``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                held.append(codes(text.lower()))
-                if sum(map(len, held[-1:])) > 1 << 22 or len(held) >= 1000:
-                    yield rows(held)
-                    held = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in slices(batches):
+            texts = [t.lower() for t in batch.column(1).to_pylist()]
+            for code, _ in windows(texts, 1 << 22):
+                held.append(np.unique(code, return_counts=True))
+                if sum(len(c) for c, _ in held) > 1 << 21:
+                    held = [merged(held)]
+                    if len(held[0][0]) > 1 << 20:
+                        yield rows(*held.pop())
         if held:
-            yield rows(held)
+            yield rows(*merged(held))
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return code, np.bincount(where, np.concatenate([n for _, n in held])).astype(np.int64)
 
-    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n, pa.int64())], ["code", "n"])
+    def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
-    table = _binary(docs).mapInArrow(gather, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return table.column(0).to_numpy(), table.column(1).to_numpy()
+    return _binary(docs).mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def train_model(docs: DataFrame, pairs: int = TRIE_PAIRS) -> Model:
+    """Count the contexts of all texts; keep those of the bounded trie.
+
+    Contexts of two bytes or more are ranked by how often they were seen, in
+    classes of counts (at most a few hundred rows come to the driver for that),
+    and whole classes are kept, from the top, while their pairs fit the bound. A
+    shorter context is seen at least as often, so it is kept with each longer one.
+    """
+    grams = staged(gram_counts(docs), "grams")
+    levels = [grams.groupBy((F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1)).alias("code")).agg(F.sum("n").alias("n")) for k in range(ORDER)] + [grams]
+    contexts = [level.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("d")) for level in levels[2:]]
+    sizes: Counter = Counter()
+    for c in contexts:
+        for r in c.groupBy(count_class(F.col("total")).alias("k")).agg(F.sum("d").alias("d")).collect():
+            sizes[r["k"]] += r["d"]
+    least, held = None, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > pairs:
+            break
+        least = k
+    got = []
+    for k, level in enumerate(levels):
+        if k >= 2:
+            kept = contexts[k - 2].where(count_class(F.col("total")) >= least if least is not None else F.lit(False)).select("context")
+            level = level.withColumn("context", F.shiftright("code", 8)).join(kept, "context", "left_semi").select("code", "n")
+        table = level.toArrow()
+        got.append((table.column(0).to_numpy(), table.column(1).to_numpy()))
+    return build(got)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -135,7 +288,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(1).to_pylist():
                 seen.update(text.lower().split())
                 seen[_END_WORD] += 1
@@ -150,7 +303,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _binary(docs).mapInArrow(gather, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS, pairs: int = TRIE_PAIRS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row a document.
 
     The models are learnt from all of ``train``: a byte trie for score and an
@@ -159,7 +312,7 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS) -> Da
     training texts every byte costs log10(256). Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(tabulate(*context_counts(train)))
+    model = spark.sparkContext.broadcast(train_model(train, pairs))
     words = staged(word_counts(train), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     below = math.log10(total + 0.5 * (distinct + 1))
@@ -168,31 +321,27 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, get, log = TaskContext.get().partitionId() << 33, known.value.get, table.value
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text in batch.column(1).to_pylist():
-                text = text.lower()
+        row, get = TaskContext.get().partitionId() << 33, known.value.get
+        for batch in slices(batches):
+            texts = [t.lower() for t in batch.column(1).to_pylist()]
+            out: list[list] = [[] for _ in range(5)]
+            for text in texts:
                 tokens = text.split()
                 tokens.append(_END_WORD)
                 found = list(map(get, tokens))
                 c = np.array([x for x in found if x is not None], np.float64)
                 rare = Counter(t for t, x in zip(tokens, found) if x is None) if len(c) < len(found) else {}
-                byte = 0.0
-                for at in range(0, len(text) + 1, 1 << 20):  # a long text in parts, each with its context
-                    byte += float(log[codes(text)[at : at + (1 << 20)]].sum(dtype=np.float64)) if len(text) <= 1 << 20 else _part(log, text, at)
-                for x, v in zip(out, (len(tokens), len(c), float((np.log10(c + 0.5) - below).sum()), byte, list(rare), list(rare.values() if rare else ()))):
+                for x, v in zip(out, (len(tokens), len(c), float((np.log10(c + 0.5) - below).sum()), list(rare), list(rare.values() if rare else ()))):
                     x.append(v)
-            n = len(out[0])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            n = len(texts)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + n), pa.int64()), batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))],
-                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "counts"],
+                [pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(model.value.score(texts), pa.float64()), *(pa.array(x, k) for x, k in zip(out, kinds))],
+                ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rare", "counts"],
             )
             row += n
 
-    rows = staged(_binary(docs).mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<binary>, counts array<long>"), "scores")
-    # one term of an unknown word is the same everywhere: only the count matters
+    rows = staged(_binary(docs).mapInArrow(run, "row long, doc_id long, score double, n_tokens long, n_known long, base_score double, rare array<binary>, counts array<long>"), "scores")
     tail = (
         rows.select("row", F.explode(F.arrays_zip("rare", "counts")).alias("t"))
         .select("row", F.col("t.rare").alias("word"), F.col("t.counts").alias("n"))
@@ -205,14 +354,6 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS) -> Da
     )
 
 
-def _part(log: np.ndarray, text: bytes, at: int) -> float:
-    whole = codes(text[max(0, at - 2) : at + (1 << 20)])
-    whole = whole[min(at, 2) :]  # the context bytes themselves were scored before
-    if at + (1 << 20) <= len(text):
-        whole = whole[:-1]  # the end of the part is not the end of the text
-    return float(log[whole].sum(dtype=np.float64))
-
-
 def adaptive(docs: DataFrame, order: int = 3) -> DataFrame:
     """(doc_id, score): each text coded by a trie that learns from that text alone."""
 
@@ -225,7 +366,5 @@ def adaptive(docs: DataFrame, order: int = 3) -> DataFrame:
 
 
 def held_out(col, fold: int = 5):  # noqa: ANN001, ANN201
+    """Whether crc32 of the id as text leaves one; false for null."""
     return F.coalesce(crc_mod(col, fold) == 1, F.lit(False))
-
-
-__all__ = ["Trie", "adaptive", "codes", "context_counts", "cut", "score", "tabulate", "word_counts"]

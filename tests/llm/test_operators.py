@@ -422,9 +422,7 @@ def test_scores(spark, docs, texts):
     total, log = sum(counts.values()), math.log10
     trie = ppm.Trie()
     for d in train:
-        data = b"\xff\xff" + texts[d].encode().lower() + b"\xff"
-        for i in range(2, len(data)):
-            trie.add(data[i - 2 : i], data[i])
+        trie.learn(texts[d].encode().lower())
     for n, d in enumerate(texts):
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (d not in train, len(words[d]), total)
@@ -439,20 +437,67 @@ def test_rare_words_join_exactly(spark, docs):
     assert all(abs(a[d]["base_score"] - b[d]["base_score"]) < 1e-6 and a[d]["n_known"] == b[d]["n_known"] for d in a)
 
 
+def model_of(texts, trie=None):
+    """A model of all contexts of some texts, or of those that a trie has."""
+    code, n = np.unique(np.concatenate([c for c, _ in ppm.windows(texts)]), return_counts=True)
+    levels = []
+    for k in range(ppm.ORDER + 1):
+        low, where = np.unique(code & ((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        count = np.bincount(where, n)
+        kept = np.array([trie is None or int(c >> 8).to_bytes(k, "big") in trie.counts for c in low])
+        levels.append((low[kept], count[kept]))
+    return ppm.build(levels)
+
+
+ODD = [b"", b"abracadabra " * 9, bytes(range(255)), b"\x00\xfe", "ünï ☃ text".encode(), b"never seen before: zq"]
+
+
+def test_model_is_the_trie(texts):
+    train = [t.encode().lower() for t in list(texts.values())[:12]]
+    trie = ppm.Trie()
+    for t in train:
+        trie.learn(t)
+    some = train[:2] + ODD
+    want = [trie.score(t, learn=False) for t in some]
+    assert np.allclose(model_of(train).score(some), want, atol=1e-3)
+    # the rarest contexts gone, as under the bound
+    for c in [c for c, seen in trie.counts.items() if len(c) >= 2 and sum(seen.values()) < 5]:
+        del trie.counts[c]
+    want = [trie.score(t, learn=False) for t in some]
+    assert np.allclose(model_of(train, trie).score(some), want, atol=1e-3)
+
+
 def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(4)
-    code = np.unique(rng.integers(0, 1 << 24, 5000))
-    table = 10.0 ** ppm.tabulate(code, rng.integers(1, 9, len(code))).astype(np.float64).reshape(-1, 256)
-    sums = table[rng.integers(0, 65536, 500)].sum(axis=1)
-    assert (sums <= 1 + 1e-4).all() and sums.min() > 0.2
-
-
-def test_long_texts_are_scored_in_parts():
-    log = np.random.default_rng(0).normal(size=1 << 24).astype(np.float32)
-    text = np.random.default_rng(1).integers(97, 123, (1 << 20) * 2 + 5, dtype=np.uint8).tobytes()
-    for t in (text, text[: 1 << 21]):
-        parts = sum(ppm._part(log, t, at) for at in range(0, len(t) + 1, 1 << 20))
-        assert abs(parts - float(log[ppm.codes(t)].sum(dtype=np.float64))) < 1e-3
+    m = model_of([b"abracadabra " * 9, b"abacus"])
+    for context in (b"abra", b"zzzz", b"\xff\xff\xff\xff", b"zzza", b"cadb"):
+        code = (int.from_bytes(context, "big") << 8) + np.arange(256)
+        assert abs((10.0 ** m.log10(code)).sum() - 1) < 1e-4
+
+
+def test_windows_of_any_size_give_the_same():
+    m = model_of([b"abracadabra " * 9])
+    whole = m.score(ODD)
+    for size in (1, 7, 64):
+        total = np.zeros(len(ODD))
+        for code, owner in ppm.windows(ODD, size):
+            total += np.bincount(owner, m.log10(code), len(ODD))
+        assert np.allclose(total, whole, atol=1e-6)
+
+
+def test_trie_bound(spark, docs):
+    for bound in (0, 3000, 10**6):
+        m = ppm.train_model(docs, bound)
+        held = m.pairs.keys[m.pairs.keys >= 0]
+        assert ((held >> 48) >= 2).sum() <= bound and ((held >> 48) == 1).sum() > 100
+        assert np.isfinite(m.score(ODD)).all()
+    assert ((held >> 48) == 4).sum() > 10_000
+
+
+def test_hash_table():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 50, 5000))
+    t = ppm.Table(keys[::2], [np.arange(2500, dtype=float)])
+    at = t.find(keys)
+    assert (t.columns[0][at[::2]] == np.arange(len(at[::2]))).all() and (at[1::2] == -1).all()
 
 
 def test_adaptive(spark):
