@@ -21,7 +21,7 @@ from palimpsest.llm.common import let, staged, word_array
 SYMBOLS = r"[#*$%&|<>]"
 #: Measures of a document with words (whole numbers) and the least spread that
 #: their upper quartile is taken to have, so that a uniform group isn't cut at its edge.
-MEASURES = {"symbols_per_mille": 40, "duplicate_lines_per_mille": 80, "repeats_per_mille": 50, "word_centichars": 150, "punct_per_mille": 120, "caps_per_mille": 150}
+MEASURES = {"symbols_per_mille": 40, "duplicate_lines_per_mille": 120, "repeats_per_mille": 65, "word_centichars": 150, "punct_per_mille": 120, "caps_per_mille": 150}
 #: Spreads above the upper quartile that are kept, and rows a group must have.
 SPREADS, GROUP_ROWS = 3, 200
 
