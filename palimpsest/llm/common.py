@@ -74,6 +74,20 @@ def staged(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to so many are broadcast to leave rows out; more meet them in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not among ``ids`` (one column), null ids included.
+
+    The ids are counted first: while they are few the texts need no shuffle.
+    """
+    ids = cut(ids)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, name, "left_anti").select(docs.columns)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once inside an expression, so that lambdas below reuse it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, staged
+from palimpsest.llm.common import cut, slices, staged, without_ids
 from palimpsest.llm.components import connected_components
 
 #: Words in a shingle and differing bits allowed.
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): one row a document, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
@@ -233,11 +233,9 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     All columns stay as they are. Of repeated rows with one doc_id one stays.
     Rows with a null doc_id stay.
     """
-    classes = near_duplicates(docs, shingle, bits)
-    stay = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stay = cut(stay)
-    kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if stay.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    return kept.unionByName(nameless) if nameless.limit(1).count() else kept
+    classes = near_duplicates(docs, shingle, bits).where("doc_id is not null")
+    rows = cut(classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
+    kept = without_ids(docs, rows.where("not stays").select("doc_id"))
+    if rows.where("stays and n > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
