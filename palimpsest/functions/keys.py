@@ -4,9 +4,11 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.workers import ship
+
 #: Marker bytes of the byte-comparable form, strides between markers
 #: and the numbers of content bytes at which the stride changes.
 MINUS_INF, END, MORE, PLUS_INF = 0x01, 0x02, 0xFE, 0xFF
@@ -156,6 +158,8 @@ def unpack(packed: bytes) -> list:
 def pack_udf(dims: Column | str) -> Column:
     """``pack`` of an array<binary> column; only where one sortable value is wanted."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("binary")
     def run(keys: pd.Series) -> pd.Series:
         return keys.map(lambda d: None if d is None else pack(list(d)))
@@ -166,6 +170,8 @@ def pack_udf(dims: Column | str) -> Column:
 def unpack_udf(packed: Column | str) -> Column:
     """``unpack`` of a column of packed keys."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<binary>")
     def run(keys: pd.Series) -> pd.Series:
         return keys.map(lambda p: None if p is None else unpack(bytes(p)))

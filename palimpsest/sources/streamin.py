@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.schema import MAX_INLINE_BYTES, MAX_KEY_BYTES, StoreError
+from palimpsest.workers import map_batches
 
 #: The packed header, and the head of a key (length, dimensions, unused).
 HEADER, KEY_HEAD = struct.Struct("<BQIQ"), struct.Struct("<II8x")
@@ -82,7 +83,7 @@ def decode(batches: DataFrame, column: str = "content") -> DataFrame:
                     ["dims", "op", "value", "uts"],
                 )
 
-    return batches.select(column).mapInArrow(run, RECORD)
+    return map_batches(batches.select(column), run, RECORD)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -99,4 +100,4 @@ def encode(rows: DataFrame, per_batch: int = 10_000) -> DataFrame:
             blobs = [encode_batch([(d, v or b"", u or 0) for d, v, u in rows[i : i + per_batch]]) for i in range(0, len(rows), per_batch)]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["content"])
 
-    return rows.select("dims", F.col("value").cast("binary"), F.col("uts").cast("long")).mapInArrow(run, "content binary")
+    return map_batches(rows.select("dims", F.col("value").cast("binary"), F.col("uts").cast("long")), run, "content binary")
