@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import crc_mod, slices, staged
 from palimpsest.llm.lexicon import HEAD_TERMS, count_class, head
+from palimpsest.workers import map_batches
 
 END = 0xFF
 ORDER = 4
@@ -249,7 +250,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
-    return _binary(docs).mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return map_batches(_binary(docs), gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def train_model(docs: DataFrame, pairs: int = TRIE_PAIRS) -> Model:
@@ -300,7 +301,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def rows(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
-    return _binary(docs).mapInArrow(gather, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(_binary(docs), gather, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS, pairs: int = TRIE_PAIRS) -> DataFrame:
@@ -341,7 +342,7 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS, pairs
             )
             row += n
 
-    rows = staged(_binary(docs).mapInArrow(run, "row long, doc_id long, score double, n_tokens long, n_known long, base_score double, rare array<binary>, counts array<long>"), "scores")
+    rows = staged(map_batches(_binary(docs), run, "row long, doc_id long, score double, n_tokens long, n_known long, base_score double, rare array<binary>, counts array<long>"), "scores")
     tail = (
         rows.select("row", F.explode(F.arrays_zip("rare", "counts")).alias("t"))
         .select("row", F.col("t.rare").alias("word"), F.col("t.counts").alias("n"))
@@ -362,7 +363,7 @@ def adaptive(docs: DataFrame, order: int = 3) -> DataFrame:
             scores = [Trie(order).score(t.lower(), learn=True) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return _binary(docs).mapInArrow(run, "doc_id long, score double")
+    return map_batches(_binary(docs), run, "doc_id long, score double")
 
 
 def held_out(col, fold: int = 5):  # noqa: ANN001, ANN201

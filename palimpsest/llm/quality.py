@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import crc_mod, slices
+from palimpsest.workers import map_batches, ship
 
 #: Labelled rows from which the model is fitted: about so many, whatever the input.
 SAMPLE_ROWS = 12_000
@@ -183,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     # the sample is bounded, and so may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    rows = map_batches(texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text"), run, "doc_id long, y int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows["y"].to_numpy(np.float64))
@@ -201,7 +202,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(matrix(batch.column(1).to_pylist())))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -219,6 +220,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     """The rows of ``docs`` whose text scores at least ``threshold``, all columns kept."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(text):  # noqa: ANN001, ANN202  Spark would take hints for a signature
         import pandas as pd

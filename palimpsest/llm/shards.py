@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import shared_dir, slices, staged
+from palimpsest.workers import map_batches
 
 #: Ids in a sequence, sequences in a shard, rounds of the permutation.
 SEQUENCE, SHARD, ROUNDS = 2048, 4096, 6
@@ -132,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
         yield rows(last=True)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return texts.mapInArrow(run, "part int, seq long, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
+    return map_batches(texts, run, "part int, seq long, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
 
 
 def unpack_ids(data: bytes) -> bytes:
@@ -206,9 +207,9 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
                 )
         yield from close()
 
-    placed = packed.mapInArrow(place, "slot long, shard int, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
+    placed = map_batches(packed, place, "slot long, shard int, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
     dealt = placed.repartitionById(max(1, -(-n // shard)), F.col("shard")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "slot long, shard int, offset long, n_tokens int, crc long, doc_ids array<long>, starts array<int>")
+    return map_batches(dealt, write, "slot long, shard int, offset long, n_tokens int, crc long, doc_ids array<long>, starts array<int>")
 
 
 def shard_folder(spark: SparkSession, name: str = "shards") -> str:

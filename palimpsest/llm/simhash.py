@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, slices, staged, without_ids
 from palimpsest.llm.components import connected_components
+from palimpsest.workers import map_batches
 
 #: Words in a shingle and differing bits allowed.
 SHINGLE, BITS = 4, 4
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return map_batches(rows, run, "doc_id long, fp long")
 
 
 def block_pairs(bits: int) -> list[tuple[int, ...]]:
@@ -206,7 +207,7 @@ def near_edges(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) ->
         return pa.RecordBatch.from_arrays([pa.array(fp[tied], pa.int64()), pa.array(fp[label[tied]], pa.int64())], ["a", "b"])
 
     by = ["bucket", "key", "x", "y"]
-    return rows.select("fp", *by).repartition("bucket").sortWithinPartitions(*by, "fp").mapInArrow(run, "a long, b long")
+    return map_batches(rows.select("fp", *by).repartition("bucket").sortWithinPartitions(*by, "fp"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

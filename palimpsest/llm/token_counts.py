@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import slices, staged, tokenizer
 from palimpsest.llm.lexicon import HEAD_TERMS, head
+from palimpsest.workers import map_batches
 
 #: Fixed value: the pre-tokens of the byte-level vocabulary. White space is spelt
 #: out since engines differ on the control characters 0x1C to 0x1F.
@@ -74,8 +75,8 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
             sizes = [len(e.ids) for e in tokenizer(path).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["piece", "n", "n_tokens"])
 
-    distinct = docs.select("text").mapInArrow(gather, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return distinct.mapInArrow(encode, "piece string, n long, n_tokens long")
+    distinct = map_batches(docs.select("text"), gather, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return map_batches(distinct, encode, "piece string, n long, n_tokens long")
 
 
 def token_counts(docs: DataFrame, path: str, head_terms: int = HEAD_TERMS) -> DataFrame:
@@ -118,7 +119,7 @@ def token_counts(docs: DataFrame, path: str, head_terms: int = HEAD_TERMS) -> Da
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = staged(texts.mapInArrow(count, "row long, doc_id long, n_bytes long, n_tokens long, pieces array<string>, counts array<long>"), "frequencies")
+    rows = staged(map_batches(texts, count, "row long, doc_id long, n_bytes long, n_tokens long, pieces array<string>, counts array<long>"), "frequencies")
     tail = (
         rows.select("row", F.explode(F.arrays_zip("pieces", "counts")).alias("t"))
         .select("row", F.col("t.pieces").alias("piece"), F.col("t.counts").alias("n"))
