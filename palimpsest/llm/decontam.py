@@ -10,50 +10,62 @@ every slot value maps to one value of the document and back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import SPACE, let, staged
+from palimpsest.llm.common import let, staged, without_ids
 
 #: Words in a window, and the part of an item's words that must be found.
 WINDOW, COVERED = 5, 0.6
 #: Benchmark windows up to so many are broadcast; more are joined by shuffle.
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 200_000
 #: Words that are units.
 UNITS = (
     "mm cm m km mg g kg t ml l s ms min h hr hrs mph kmh kph hz khz mhz w kw v kb mb gb tb inch inches foot feet yard yards mile miles ounce ounces pound pounds gram grams "
     "kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters liter liters litre litres second seconds minute minutes "
     "hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
 ).split()
-#: Placeholders; no template word holds these characters.
-NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01p"
+#: Placeholders, and what joins the digits of one number; texts lose these characters first.
+NUMBER, UNIT, NAME, JOIN = "\x01n", "\x01u", "\x01p", "\x02"
+_WORD = r"\p{L}\p{N}"
 
 
-def raw_words(text: Column) -> Column:
-    """Words of a text, split at white space, without those of punctuation only."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+def _where(text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """Change the texts that pass a cheap test; the text is computed once."""
+    return let(text, lambda t: F.when(test(t), change(t)).otherwise(t))
+
 
+def plain_text(text: Column) -> Column:
+    """The text with the digits of each number joined, so that a number is one word."""
+    text = _where(F.coalesce(text, F.lit("")), lambda t: t.rlike(r"[\x01\x02]"), lambda t: F.translate(t, "\x01\x02", "  "))
+    return _where(text, lambda t: t.rlike(r"[0-9]"), lambda t: F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", JOIN))
 
-def template_text(text: Column) -> Column:
-    """The text with placeholders, word for word: three replacements and a lower-casing.
 
-    Names are replaced first, while capitals and sentence ends are still there;
-    the words of a sentence that is all capitals are no names.
+def template_text(plain: Column) -> Column:
+    """Plain text with placeholders, each for one word.
+
+    Names are replaced first, while capitals and sentence ends are still there: a
+    capitalised word behind a word or comma, whose other letters are small.
+    Patterns begin with what is rare, so that most positions fail at once.
     """
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{L}\p{N},;:'\")][\x20\x09-\x0D])\p{Lu}(?:\p{Ll}[\p{L}'’-]*)?(?=[^\p{L}\p{N}]|$)", "\x02")
-    out = F.lower(out)
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])[$€£]?\d+(?:[.,]\d+)*(?![\p{L}\p{N}])%?", NUMBER)
-    out = F.regexp_replace(out, rf"(?<=\x01n[\x20\x09-\x0D])(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.replace(out, F.lit("\x02"), F.lit(NAME))
+    out = F.lower(F.regexp_replace(plain, rf"\p{{Lu}}(?<=[{_WORD},;:'\")][\x20\x09-\x0D]\p{{Lu}})\p{{Ll}}*(?![{_WORD}\x02])", "\x01P"))
+    number, units = rf"\d(?<![{_WORD}\x01\x02]\d)[\d\x02]*(?![{_WORD}\x02])", "|".join(sorted(UNITS, key=len, reverse=True))
+    out = _where(out, lambda t: t.rlike(r"[0-9]"), lambda t: F.regexp_replace(t, number, NUMBER))
+    return _where(out, lambda t: F.contains(t, F.lit(NUMBER)), lambda t: F.regexp_replace(t, rf"(\x01n[\x20\x09-\x0D]+)(?:{units})(?![{_WORD}\x02])", "$1\x01u"))
+
+
+def raw_words(text: Column) -> Column:
+    """Runs of letters and digits, word for word those of ``template_words``."""
+    return F.array_remove(F.split(plain_text(text), rf"[^{_WORD}\x02]+"), "")
 
 
 def template_words(text: Column) -> Column:
-    """One template word for each raw word, without punctuation around it."""
-    words = F.filter(F.split(template_text(text), SPACE), lambda w: w.rlike(r"[\p{L}\p{N}\x01]"))
-    return F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}\x01]+|[^\p{L}\p{N}]+$", ""))
+    """One template word for each raw word."""
+    return F.array_remove(F.split(template_text(plain_text(text)), rf"[^{_WORD}\x01\x02]+"), "")
 
 
 def _hashes(words: Column, width: int) -> Column:
@@ -92,60 +104,60 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """
     items = staged(item_windows(benchmark, window), "item-windows")
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``window`` numbers
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = docs.select("doc_id", "text", template_words(F.col("text")).alias("doc_words")).where("doc_id is not null")
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     met = []
     for width in widths:
-        hashed = texts.select("doc_id", "text", F.posexplode(_hashes(template_words(F.col("text")), width)).alias("q", "h"))
+        # a column exploded as outer: compiled, so that no text is copied, and without a filter that computes it twice
+        hashed = texts.withColumn("hashes", _hashes(F.col("doc_words"), width)).select("doc_id", "text", "doc_words", F.posexplode_outer("hashes").alias("q", "h"))
         keys = items.where(F.col("width") == width)
         if small:
             met.append(hashed.join(F.broadcast(keys), "h"))
         else:
-            pairs = hashed.select("doc_id", "q", "h").join(keys, "h")
-            met.append(pairs.join(texts, "doc_id"))
+            met.append(hashed.select("doc_id", "q", "h").join(keys, "h").join(texts, "doc_id"))
     if not met:
-        met = [texts.select("doc_id", "text", F.lit(0).alias("q")).join(items, F.lit(False))]
+        met = [texts.select("doc_id", "text", "doc_words", F.lit(0).alias("q")).join(items, F.lit(False))]
     rows = reduce(DataFrame.unionByName, met)
     part = lambda c: F.slice(c, F.col("q") + 1, F.col("width"))
-    return rows.select("doc_id", "item_id", "n", "p", (F.col("q") - F.col("p")).alias("d"), "width", "raw", "words", part(raw_words(F.col("text"))).alias("doc_raw"), part(template_words(F.col("text"))).alias("doc_words"))
+    slots = F.exists("words", lambda w: w.startswith("\x01"))  # without any, the raw words say nothing more
+    return rows.select(
+        "doc_id", "item_id", "n", "p", (F.col("q") - F.col("p")).alias("d"), "width", "raw", "words", part(F.col("doc_words")).alias("doc_words"), F.when(slots, part(raw_words(F.col("text")))).otherwise(F.col("raw")).alias("doc_raw")
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim): the items that documents hold.
 
-    coverage is the part of the item's words in windows met, counting only
-    stretches (windows of one distance) whose slots are consistent; pairs below
+    coverage is the part of the item's words in windows met. A window whose slots
+    are as in the item counts; one with other values counts if all windows of its
+    stretch (those at one distance) map the slots one to one. Pairs below
     ``covered`` are left out, and so are clean documents. verbatim tells whether
-    all slots are as in the item. Null and empty texts hold nothing; items without
-    words are passed over; rows with a null doc_id cannot be named and are not
-    searched; repeated rows and items count once; other columns are not read.
+    the windows as in the item suffice. Null and empty texts hold nothing; items
+    without words are passed over; rows with a null doc_id cannot be named and
+    are not searched; repeated rows and items count once; other columns are not read.
     """
     rows = matches(docs, benchmark, window).where(_equal("words", "doc_words"))  # exact check behind the hashes
     slots = F.filter(
-        F.zip_with(F.arrays_zip("words", "raw"), "doc_raw", lambda a, b: F.struct(a["words"].alias("kind"), _bare(a["raw"]).alias("item"), _bare(b).alias("doc"))),
+        F.zip_with(F.arrays_zip("words", "raw"), "doc_raw", lambda a, b: F.struct(a["words"].alias("kind"), F.lower(a["raw"]).alias("item"), F.lower(b).alias("doc"))),
         lambda s: s["kind"].startswith("\x01"),
     )
     rows = rows.select("doc_id", "item_id", "n", "p", "d", "width", slots.alias("slots")).distinct()
+    rows = rows.select("*", F.forall("slots", lambda s: s["item"] == s["doc"]).alias("same"))
     # a stretch holds at most one window for each word of its item
-    stretch = rows.groupBy("doc_id", "item_id", "n", "d").agg(F.collect_set(F.struct("p", "width")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    stretch = rows.groupBy("doc_id", "item_id", "n", "d").agg(F.collect_set(F.struct("p", "width", "same")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     kinds = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
-    stretch = stretch.where((kinds("item") == F.size("slots")) & (kinds("doc") == F.size("slots")))
-    stretch = stretch.select("*", F.forall("slots", lambda s: s["item"] == s["doc"]).alias("verbatim"))
-    words = stretch.select("doc_id", "item_id", "n", "verbatim", F.explode("at").alias("at")).select("doc_id", "item_id", "n", "verbatim", F.explode(F.sequence("at.p", F.col("at.p") + F.col("at.width") - 1)).alias("word"))
-    found = words.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("word").alias("found"), F.min("verbatim").alias("verbatim"))
+    consistent = (kinds("item") == F.size("slots")) & (kinds("doc") == F.size("slots"))
+    windows = stretch.select("doc_id", "item_id", "n", consistent.alias("consistent"), F.inline("at")).where("same or consistent")
+    words = windows.select("doc_id", "item_id", "n", "same", F.explode(F.sequence("p", F.col("p") + F.col("width") - 1)).alias("word"))
+    found = words.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("word").alias("found"), F.countDistinct(F.when(F.col("same"), F.col("word"))).alias("same"))
     found = found.where(F.col("found") >= F.col("n") * covered)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.col("found") / F.col("n")).alias("coverage"), F.max("verbatim").alias("verbatim"))
+    return found.groupBy("doc_id", "item_id").agg(F.max(F.col("found") / F.col("n")).alias("coverage"), F.max(F.col("same") >= F.col("n") * covered).alias("verbatim"))
 
 
 def _equal(a: str, b: str) -> Column:
     return F.array_join(a, " ") == F.array_join(b, " ")
 
 
-def _bare(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns as they are."""
-    bad = contaminated(docs, benchmark, window, covered).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, contaminated(docs, benchmark, window, covered).select("doc_id").distinct())
