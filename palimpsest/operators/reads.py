@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions.keys import after, in_box
 from palimpsest.operators.resolve import counters, visible
 from palimpsest.schema import MAX_INLINE_BYTES, TOMBSTONE, StoreError
+from palimpsest.versions import VersionTree
 
 
-def get(log: DataFrame, versions: DataFrame, version: int, key: dict, timestamped: bool = False, tombstones: bool = False) -> DataFrame:
+def get(log: DataFrame, versions: DataFrame | VersionTree, version: int, key: dict, timestamped: bool = False, tombstones: bool = False) -> DataFrame:
     """The entry of one key that a version sees; no row if there is none.
 
     The key's values reach the scan as pushed filters.
@@ -20,7 +21,7 @@ def get(log: DataFrame, versions: DataFrame, version: int, key: dict, timestampe
     return visible(log, versions, list(key), version, timestamped, tombstones)
 
 
-def multi_get(log: DataFrame, versions: DataFrame, version: int, wanted: DataFrame, keys: list[str], timestamped: bool = False) -> DataFrame:
+def multi_get(log: DataFrame, versions: DataFrame | VersionTree, version: int, wanted: DataFrame, keys: list[str], timestamped: bool = False) -> DataFrame:
     """The entries of many keys at once: a semi join before anything is resolved."""
     return visible(log.join(wanted.select(*keys).distinct(), keys, "left_semi"), versions, keys, version, timestamped)
 
@@ -31,7 +32,7 @@ def check_bounds(keys: list[str], low: list, high: list) -> None:
 
 
 def scan(
-    log: DataFrame, versions: DataFrame, version: int, keys: list[str], low: list, high: list, *,
+    log: DataFrame, versions: DataFrame | VersionTree, version: int, keys: list[str], low: list, high: list, *,
     timestamped: bool = False, tombstones: bool = False, values: bool = True, out_of_line: bool = True, user_timestamps: bool = False, tree_timestamped: bool | None = None,
 ) -> DataFrame:
     """The visible entries inside an inclusive box, one bound a dimension, None open.
@@ -56,7 +57,7 @@ def scan(
     return out
 
 
-def scan_counters(log: DataFrame, versions: DataFrame, version: int, keys: list[str], low: list, high: list) -> DataFrame:
+def scan_counters(log: DataFrame, versions: DataFrame | VersionTree, version: int, keys: list[str], low: list, high: list) -> DataFrame:
     """(keys.., op, n) of the counters inside a box."""
     check_bounds(keys, low, high)
     return counters(log.where(in_box([F.col(k) for k in keys], low, high)), versions, keys, version)

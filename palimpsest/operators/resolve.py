@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.schema import COUNTER_ADD, COUNTER_SET, TOMBSTONE, VALUE
+from palimpsest.versions import VersionTree
 
 #: Pieces of the log in which counters fold before they are put together.
 PIECES = 64
 
 
-def lineage(log: DataFrame, versions: DataFrame, version: int | None = None) -> DataFrame:
+def lineage(log: DataFrame, versions: DataFrame | VersionTree, version: int | None = None) -> DataFrame:
     """Log rows with each version qv that sees them (all versions, or one).
 
-    The version table is small (at most 50,000 rows) and is broadcast; for one
-    version only its ancestors are, so that their equality reaches the scan.
+    For one version of a tree at hand its ancestors are literals, which reach the
+    scan. Otherwise the version table (at most 50,000 rows) is broadcast.
     """
+    if isinstance(versions, VersionTree):
+        if version is not None:
+            return log.where(F.col("v").isin(versions.ancestors(version))).withColumn("qv", F.lit(version).cast("long"))
+        versions = versions.frame(log.sparkSession)
     a = versions.select(F.col("v"), F.col("o").alias("ao"), F.col("r").alias("ar"))
     q = versions.select(F.col("v").alias("qv"), F.col("o").alias("qo"))
     if version is not None:
@@ -46,7 +51,7 @@ def newest(rows: DataFrame, by: list[str], timestamped: bool = False) -> DataFra
     return out.select(*by, *(f"best.{c}" for c in order), *(F.col("best.rest")[c].alias(c) for c in rest)).select(rows.columns)
 
 
-def visible(log: DataFrame, versions: DataFrame, keys: list[str], version: int | None = None, timestamped: bool = False, tombstones: bool = False) -> DataFrame:
+def visible(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str], version: int | None = None, timestamped: bool = False, tombstones: bool = False) -> DataFrame:
     """What each version sees of each key: columns qv, then those of the log.
 
     Tombstones hide their key, unless asked for.
@@ -62,17 +67,20 @@ def latest(log: DataFrame, keys: list[str], timestamped: bool = False, tombstone
     return out if tombstones else out.where(F.col("op") != TOMBSTONE)
 
 
-def fold_pieces(rows: DataFrame, by: list[str], pieces: int = PIECES) -> DataFrame:
+def fold_pieces(rows: DataFrame, by: list[str], pieces: int = PIECES, log: DataFrame | None = None) -> DataFrame:
     """Composite counters: one row a group and piece of the log.
 
     base is the last entry of the piece that is no ADD (seq, op, n; null if there
     is none), added the sum of ADDs behind it, last the newest seq. Composites of
     two neighbouring pieces make one by the same rule, so any grouping of pieces
-    gives the same count.
+    gives the same count. Pieces are equal ranges of seq over ``log`` (or ``rows``).
     """
-    ends = rows.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    piece = F.floor((F.col("seq") - F.col("lo")) * pieces / (F.col("hi") - F.col("lo") + 1))
-    rows = rows.join(F.broadcast(ends)).withColumn("piece", piece)
+    if pieces > 1:
+        ends = (rows if log is None else log).agg(F.min("seq").alias("__lo"), F.max("seq").alias("__hi"))
+        piece = F.floor((F.col("seq") - F.col("__lo")) * pieces / (F.col("__hi") - F.col("__lo") + 1))
+        rows = rows.join(F.broadcast(ends)).withColumn("piece", piece).drop("__lo", "__hi")
+    else:
+        rows = rows.withColumn("piece", F.lit(0).cast("long"))
     is_add = F.col("op") == COUNTER_ADD
     group = Window.partitionBy(*by, "piece")
     rows = rows.withColumn("base_seq", F.max(F.when(~is_add, F.col("seq"))).over(group))
@@ -84,7 +92,18 @@ def fold_pieces(rows: DataFrame, by: list[str], pieces: int = PIECES) -> DataFra
     )
 
 
-def count(rows: DataFrame, by: list[str], pieces: int = PIECES) -> DataFrame:
+def combine(parts: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., base, added, adds, last): the composites of all pieces put together.
+
+    At most one row a piece meets in a group.
+    """
+    at = F.max(F.when(F.col("base").isNotNull(), F.struct("piece", "base"))).over(Window.partitionBy(*by))
+    parts = parts.withColumn("at", at).withColumn("newest", F.max("last").over(Window.partitionBy(*by)))
+    parts = parts.where(F.col("at").isNull() | (F.col("piece") >= F.col("at.piece")))
+    return parts.groupBy(*by).agg(F.sum("added").alias("added"), F.sum("adds").alias("adds"), F.max("at.base").alias("base"), F.max("newest").alias("last"))
+
+
+def count(rows: DataFrame, by: list[str], pieces: int = PIECES, log: DataFrame | None = None) -> DataFrame:
     """(by.., op, n): what a read of each counter gives.
 
     The newest entry decides: a tombstone gives op TOMBSTONE, a value VALUE with
@@ -92,31 +111,26 @@ def count(rows: DataFrame, by: list[str], pieces: int = PIECES) -> DataFrame:
     SET or else from 0. Sums wrap like 64-bit integers only beyond their range,
     where Spark raises an error instead.
     """
-    parts = fold_pieces(rows, by, pieces)
-    last = parts.groupBy(*by).agg(F.max(F.when(F.col("base").isNotNull(), F.struct("piece", "base"))).alias("at"))
-    # at most ``pieces`` rows a group meet here
-    joined = parts.join(last.withColumnsRenamed({c: f"__{c}" for c in by}), [parts[c].eqNullSafe(F.col(f"__{c}")) for c in by])
-    behind = F.col("at").isNull() | (F.col("piece") >= F.col("at.piece"))
-    total = joined.where(behind).groupBy(*by).agg(F.sum("added").alias("added"), F.sum("adds").alias("adds"), F.max("at.base").alias("base"))
+    total = combine(fold_pieces(rows, by, pieces, log), by)
     kind = F.col("base.op")
     plain = (F.col("adds") == 0) & kind.isin(VALUE, TOMBSTONE)
     return total.select(*by, F.when(plain, kind).otherwise(COUNTER_SET).alias("op"), F.when(plain, F.col("base.n")).otherwise(F.col("added") + F.when(kind == COUNTER_SET, F.col("base.n")).otherwise(0)).alias("n"))
 
 
-def counters(log: DataFrame, versions: DataFrame, keys: list[str], version: int | None = None) -> DataFrame:
+def counters(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str], version: int | None = None) -> DataFrame:
     """(qv, keys.., op, n) of every key that each version sees, tombstones left out."""
     seen = lineage(log, versions, version)
-    return count(seen, ["qv", *keys]).where(F.col("op") != TOMBSTONE)
+    return count(seen, ["qv", *keys], log=log).where(F.col("op") != TOMBSTONE)
 
 
-def one_version_counts(log: DataFrame, keys: list[str]) -> DataFrame:
+def one_version_counts(log: DataFrame, keys: list[str], pieces: int = PIECES) -> DataFrame:
     """(v, keys.., op, n): the entries of each version folded alone, as a merge stores them.
 
     Without a base the sum stays an ADD, to be added to what ancestors hold.
     """
-    parts = fold_pieces(log, ["v", *keys], 1)
+    total = combine(fold_pieces(log, ["v", *keys], pieces), ["v", *keys])
     kind, plain = F.col("base.op"), F.col("adds") == 0
-    return parts.select(
+    return total.select(
         "v", *keys,
         F.when(F.col("base").isNull(), COUNTER_ADD).when(plain, kind).otherwise(COUNTER_SET).alias("op"),
         F.when(plain & kind.isNotNull(), F.col("base.n")).otherwise(F.col("added") + F.when(kind == COUNTER_SET, F.col("base.n")).otherwise(0)).alias("n"),

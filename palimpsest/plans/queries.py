@@ -38,29 +38,29 @@ def _newest(columns: str, where: str, order: str = _NEWEST, tombstones: bool = F
 
 @query(sql(_newest("d0, d1, op, n, seq", "qv = 7 AND d0 = 0 AND d1 = 2")))
 def get_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.get(log(spark, sf_dir), versions(spark), 7, {"d0": 0, "d1": 2}).select("d0", "d1", "op", "n", "seq")
+    return reads.get(log(spark, sf_dir), tree(), 7, {"d0": 0, "d1": 2}).select("d0", "d1", "op", "n", "seq")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS found FROM events WHERE user_id = 0 AND event_id % 7 = 99")
 def get_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.get(log(spark, sf_dir), versions(spark), 8, {"d0": 0, "d1": 99}).agg(F.count(F.lit(1)).alias("found"))
+    return reads.get(log(spark, sf_dir), tree(), 8, {"d0": 0, "d1": 99}).agg(F.count(F.lit(1)).alias("found"))
 
 
 @query(sql(_newest("d0, d1, op = 'TOMBSTONE' AS is_tombstone, seq", "qv = 8 AND d0 BETWEEN 0 AND 9", tombstones=True)))
 def get_tombstone_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reads.scan(log(spark, sf_dir), versions(spark), 8, KEYS, [0, None], [9, None], tombstones=True)
+    out = reads.scan(log(spark, sf_dir), tree(), 8, KEYS, [0, None], [9, None], tombstones=True)
     return out.select("d0", "d1", "is_tombstone", "seq")
 
 
 @query(sql(_newest("d0, d1, n, uts, seq", "qv = 8 AND d0 = 0 AND d1 = 4", _BY_UTS)))
 def get_timestamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.get(log(spark, sf_dir), versions(spark), 8, {"d0": 0, "d1": 4}, timestamped=True).select("d0", "d1", "n", "uts", "seq")
+    return reads.get(log(spark, sf_dir), tree(), 8, {"d0": 0, "d1": 4}, timestamped=True).select("d0", "d1", "n", "uts", "seq")
 
 
 @query(sql(_newest("d0, d1, n, seq", "qv = 6 AND (d0, d1) IN (SELECT o_custkey % 50, o_orderkey % 7 FROM orders WHERE o_orderpriority LIKE '1%')")))
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select((F.col("o_custkey") % 50).alias("d0"), (F.col("o_orderkey") % 7).alias("d1"))
-    return reads.multi_get(log(spark, sf_dir), versions(spark), 6, wanted, KEYS).select("d0", "d1", "n", "seq")
+    return reads.multi_get(log(spark, sf_dir), tree(), 6, wanted, KEYS).select("d0", "d1", "n", "seq")
 
 
 # ranges
@@ -68,12 +68,12 @@ def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(_newest("d0, d1, n, seq", "qv = 7 AND d0 BETWEEN 3 AND 12")))
 def range_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan(log(spark, sf_dir), versions(spark), 7, KEYS, [3, None], [12, None]).select("d0", "d1", "n", "seq")
+    return reads.scan(log(spark, sf_dir), tree(), 7, KEYS, [3, None], [12, None]).select("d0", "d1", "n", "seq")
 
 
 @query(sql(_newest("d0, d1, n, seq", "qv = 7 AND d0 BETWEEN 2 AND 90 AND d1 BETWEEN 1 AND 3")))
 def range_hypercube_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan(log(spark, sf_dir), versions(spark), 7, KEYS, [2, 1], [90, 3]).select("d0", "d1", "n", "seq")
+    return reads.scan(log(spark, sf_dir), tree(), 7, KEYS, [2, 1], [90, 3]).select("d0", "d1", "n", "seq")
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_custkey BETWEEN 10 AND 90 AND o_orderkey BETWEEN 100 AND 9000")
@@ -84,40 +84,40 @@ def range_hypercube_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(_newest("d0, d1, n, seq", "qv = 5 AND d0 <= 7")))
 def range_open_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan(log(spark, sf_dir), versions(spark), 5, KEYS, [None, None], [7, None]).select("d0", "d1", "n", "seq")
+    return reads.scan(log(spark, sf_dir), tree(), 5, KEYS, [None, None], [7, None]).select("d0", "d1", "n", "seq")
 
 
 @query(sql(_newest("d0, d1, n, seq", "qv = 5 AND d0 >= 8 AND d1 >= 5")))
 def range_open_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan(log(spark, sf_dir), versions(spark), 5, KEYS, [8, 5], [None, None]).select("d0", "d1", "n", "seq")
+    return reads.scan(log(spark, sf_dir), tree(), 5, KEYS, [8, 5], [None, None]).select("d0", "d1", "n", "seq")
 
 
 @query(sql(_newest("d0, d1", "qv = 8")))
 def range_keys_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan(log(spark, sf_dir), versions(spark), 8, KEYS, [None, None], [None, None], values=False)
+    return reads.scan(log(spark, sf_dir), tree(), 8, KEYS, [None, None], [None, None], values=False)
 
 
 @query(sql(_newest("d0, d1, op, n", "qv = 6 AND d1 = 3", tombstones=True)))
 def range_with_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan(log(spark, sf_dir), versions(spark), 6, KEYS, [None, 3], [None, 3], tombstones=True).select("d0", "d1", "op", "n")
+    return reads.scan(log(spark, sf_dir), tree(), 6, KEYS, [None, 3], [None, 3], tombstones=True).select("d0", "d1", "op", "n")
 
 
 @query(sql(_newest("d0, d1, uts", "qv = 8 AND d0 < 40", _BY_UTS)))
 def range_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reads.scan(log(spark, sf_dir), versions(spark), 8, KEYS, [None, None], [39, None], timestamped=True, user_timestamps=True)
+    out = reads.scan(log(spark, sf_dir), tree(), 8, KEYS, [None, None], [39, None], timestamped=True, user_timestamps=True)
     return out.select("d0", "d1", "uts")
 
 
 @query("SELECT doc_id, lang, CASE WHEN octet_length(encode(text)) <= 512 THEN text END AS value FROM documents WHERE lang BETWEEN 'de' AND 'es'")
 def range_inline_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.lit(1).cast("long").alias("v"), F.col("doc_id").alias("seq"), F.lit("VALUE").alias("op"), F.col("text").cast("binary").alias("value"))
-    out = reads.scan(docs, versions(spark), 1, ["lang", "doc_id"], ["de", None], ["es", None], out_of_line=False)
+    out = reads.scan(docs, tree(), 1, ["lang", "doc_id"], ["de", None], ["es", None], out_of_line=False)
     return out.select("doc_id", "lang", F.col("value").cast("string").alias("value"))
 
 
 @query(sql(_newest("d0, d1, n", "qv = 8 AND (d0 > 4 OR (d0 = 4 AND d1 > 3))") + " ORDER BY d0, d1 LIMIT 25"))
 def range_page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads.scan(log(spark, sf_dir), versions(spark), 8, KEYS, [None, None], [None, None])
+    rows = reads.scan(log(spark, sf_dir), tree(), 8, KEYS, [None, None], [None, None])
     return reads.page(rows, KEYS, 25, [4, 3]).select("d0", "d1", "n")
 
 
@@ -228,9 +228,6 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions(spark).select(F.col("v").cast("int"), F.col("o").cast("int"), F.rank().over(Window.orderBy(F.col("o").desc())).cast("long").alias("newest_first"))
 
 
-_TWO = "a AS (SELECT d0, d1, seq FROM (SELECT *, {0} AS rn FROM anc WHERE qv = {1}) WHERE rn = 1 AND op <> 'TOMBSTONE')"
-
-
 @query(
     sql(
         "SELECT coalesce(x.d0, y.d0) AS d0, coalesce(x.d1, y.d1) AS d1, x.seq AS old_seq, y.seq AS new_seq FROM "
@@ -294,12 +291,12 @@ def counter_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_count_sql("(SELECT * FROM anc WHERE qv = 7 AND data_age >= 2)", _COUNTED))
 def counter_multi_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.counters(log(spark, sf_dir, counters=True).where("data_age >= 2"), versions(spark), KEYS, 7).select(*KEYS, "op", "n")
+    return resolve.counters(log(spark, sf_dir, counters=True).where("data_age >= 2"), tree(), KEYS, 7).select(*KEYS, "op", "n")
 
 
 @query(_count_sql("(SELECT * FROM anc WHERE qv = 8 AND d0 BETWEEN 1 AND 30 AND d1 <= 2)", _COUNTED))
 def counter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.scan_counters(log(spark, sf_dir, counters=True), versions(spark), 8, KEYS, [1, None], [30, 2]).select(*KEYS, "op", "n")
+    return reads.scan_counters(log(spark, sf_dir, counters=True), tree(), 8, KEYS, [1, None], [30, 2]).select(*KEYS, "op", "n")
 
 
 # timestamps
@@ -555,7 +552,7 @@ def array_sorted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return resolve.visible(whole, versions(spark), KEYS, 8).select("d0", "d1", "seq")
+    return resolve.visible(whole, tree(), KEYS, 8).select("d0", "d1", "seq")
 
 
 __all__ = ["ORACLES", "QUERIES", "VersionTree", "tree"]

@@ -279,12 +279,12 @@ class Store:
         paths = [a["path"] for a in s["arrays"].values() if a["vertree"] == vertree and not a["barrier"] and (newer_than is None or (a["max_uts"] or 0) > newer_than)]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
-    def _view(self, name: str, kind: str) -> tuple[dict, dict, DataFrame, DataFrame, bool]:
+    def _view(self, name: str, kind: str) -> tuple[dict, dict, DataFrame, VersionTree, bool]:
         s = self.state()
         c = self._collection(s, name)
         self.requests[name, kind] += 1
         tree = self._tree(s, c["vertree"])
-        return s, c, self.log(c["vertree"], s), tree.frame(self.spark), s["vertrees"][str(c["vertree"])]["timestamped"]
+        return s, c, self.log(c["vertree"], s), tree, s["vertrees"][str(c["vertree"])]["timestamped"]
 
     def get(self, name: str, dims: list[bytes], tombstones: bool = False) -> DataFrame:
         _, c, log, versions, timestamped = self._view(name, "gets")

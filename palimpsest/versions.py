@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from palimpsest.schema import MAX_LIVE_VERSIONS, MAX_VERSIONS, VERSIONS, StoreError
 
 
+#: Trees up to so many versions are written into the plan.
+INLINE_ROWS = 1000
+
+
 @dataclass
 class Version:
     v: int
@@ -105,7 +109,11 @@ class VersionTree:
     def frame(self, spark: SparkSession) -> DataFrame:
         numbers = self.numbering()
         rows = [(x.v, x.parent, *numbers[x.v], x.deleted, self.is_leaf(x.v), self.is_mutable(x.v), self.live_parent(x.v), x.creation_ts, x.immute_ts) for x in self.versions.values()]
-        return spark.createDataFrame(rows, VERSIONS)
+        if not rows or len(rows) > INLINE_ROWS:
+            return spark.createDataFrame(rows, VERSIONS)
+        # an inline table takes part in planning and needs no job of its own
+        text = {bool: lambda x: str(x).lower(), int: lambda x: f"{x}L", type(None): lambda _: "CAST(NULL AS BIGINT)"}
+        return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(text[type(x)](x) for x in r) + ')' for r in rows)} AS t({', '.join(VERSIONS.names)})")
 
 
 def ancestry(versions: DataFrame) -> DataFrame:
