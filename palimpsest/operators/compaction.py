@@ -152,15 +152,15 @@ def _push_down(es: Column, e: Column) -> Column:
 def merge(log: DataFrame, versions: DataFrame, keys: list[str], *, timestamped: bool = False, counter: bool = False, oldest: bool = False, now: int = 0, period: int = 0, least_other_uts: int | None = None) -> DataFrame:
     """The entries of the arrays in ``log`` as one array holds them.
 
-    ``oldest`` tells that nothing older lies outside: only then may tombstones
-    and entries of deleted versions go. Counters keep their tombstones, which end
-    a count.
+    ``counter`` is for logs with any counter entries, of whatever keys; it is
+    right for others too, at the price of a sort. ``oldest`` tells that nothing
+    older lies outside: only then may tombstones and entries of deleted versions go.
     """
     out = distinct_entries(log, keys, timestamped, counter)
     if timestamped and not counter:
         out = resolve_timestamps(out, versions, keys)
     if oldest:
-        if not counter:
+        if not (timestamped and counter):
             out = discard_tombstones(out, versions, keys, timestamped=timestamped, now=now, period=period, least_other_uts=least_other_uts)
         out = collect_deleted(out, versions, keys, counter)
     return out

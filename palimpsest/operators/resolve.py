@@ -70,8 +70,8 @@ def latest(log: DataFrame, keys: list[str], timestamped: bool = False, tombstone
 def fold_pieces(rows: DataFrame, by: list[str], pieces: int = PIECES, log: DataFrame | None = None) -> DataFrame:
     """Composite counters: one row a group and piece of the log.
 
-    base is the last entry of the piece that is no ADD (seq, op, n; null if there
-    is none), added the sum of ADDs behind it, last the newest seq. Composites of
+    base is the last entry of the piece that is no ADD (seq, op, n and all other
+    columns; null if there is none), added the sum of ADDs behind it, last the newest seq. Composites of
     two neighbouring pieces make one by the same rule, so any grouping of pieces
     gives the same count. Pieces are equal ranges of seq over ``log`` (or ``rows``).
     """
@@ -81,11 +81,12 @@ def fold_pieces(rows: DataFrame, by: list[str], pieces: int = PIECES, log: DataF
         rows = rows.join(F.broadcast(ends)).withColumn("piece", piece).drop("__lo", "__hi")
     else:
         rows = rows.withColumn("piece", F.lit(0).cast("long"))
+    entry = ["seq", "op", "n", *(c for c in rows.columns if c not in {*by, "seq", "op", "n", "piece"})]
     is_add = F.col("op") == COUNTER_ADD
     group = Window.partitionBy(*by, "piece")
     rows = rows.withColumn("base_seq", F.max(F.when(~is_add, F.col("seq"))).over(group))
     return rows.groupBy(*by, "piece").agg(
-        F.max(F.when(~is_add, F.struct("seq", "op", "n"))).alias("base"),
+        F.max(F.when(~is_add, F.struct(*entry))).alias("base"),
         F.coalesce(F.sum(F.when(is_add & (F.col("seq") > F.coalesce("base_seq", F.lit(-1))), F.col("n"))), F.lit(0)).alias("added"),
         F.max("seq").alias("last"),
         F.count(F.when(is_add & (F.col("seq") > F.coalesce("base_seq", F.lit(-1))), 1)).alias("adds"),
@@ -124,18 +125,22 @@ def counters(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str],
 
 
 def one_version_counts(log: DataFrame, keys: list[str], pieces: int = PIECES) -> DataFrame:
-    """(v, keys.., op, n): the entries of each version folded alone, as a merge stores them.
+    """The entries of each key and version folded into one, as a merge stores them.
 
-    Without a base the sum stays an ADD, to be added to what ancestors hold.
+    Columns are those of ``log``. A value or tombstone that is newest stays as it
+    is. Without a base the sum stays an ADD, to be added to what ancestors hold;
+    otherwise it is a SET. Sums have null in the other columns.
     """
     total = combine(fold_pieces(log, ["v", *keys], pieces), ["v", *keys])
-    kind, plain = F.col("base.op"), F.col("adds") == 0
-    return total.select(
-        "v", *keys,
-        F.when(F.col("base").isNull(), COUNTER_ADD).when(plain, kind).otherwise(COUNTER_SET).alias("op"),
-        F.when(plain & kind.isNotNull(), F.col("base.n")).otherwise(F.col("added") + F.when(kind == COUNTER_SET, F.col("base.n")).otherwise(0)).alias("n"),
-        F.col("last").alias("seq"),
-    )
+    kind, added = F.col("base.op"), F.col("adds") > 0
+    whole = F.coalesce(~added & kind.isin(VALUE, TOMBSTONE), F.lit(False))
+    folded = {
+        "op": F.when(kind.isNull(), COUNTER_ADD).when(whole, kind).otherwise(COUNTER_SET),
+        "n": F.when(whole, F.col("base.n")).otherwise(F.col("added") + F.when(kind == COUNTER_SET, F.col("base.n")).otherwise(0)),
+        "seq": F.col("last"),
+    }
+    out = {c: folded.get(c, F.when(whole, F.col("base")[c])) for c in log.columns if c not in ("v", *keys)}
+    return total.select(*(F.col(c) if c in ("v", *keys) else out[c].alias(c) for c in log.columns))
 
 
 def timestamp_rejects(log: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:

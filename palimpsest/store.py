@@ -313,7 +313,7 @@ class Store:
 
     # merges
 
-    def merge(self, vertree: int, arrays: list[int], counter: bool = False) -> int:
+    def merge(self, vertree: int, arrays: list[int]) -> int:
         """Merge a contiguous run of arrays into one that takes their least age."""
         s = self.state()
         tree = self._tree(s, vertree)
@@ -326,12 +326,13 @@ class Store:
         others = [a["min_uts"] for a in data if a["id"] not in arrays and a["min_uts"] is not None]
         meta = s["vertrees"][str(vertree)]
         log = self.spark.read.schema(LOG).parquet(*(own[a]["path"] for a in arrays))
+        counter = not log.where(F.col("op").isin(COUNTER_SET, COUNTER_ADD)).limit(1).isEmpty()
         out = compaction.merge(
             log, tree.frame(self.spark), ["dims"], timestamped=meta["timestamped"], counter=counter, oldest=oldest, now=self._now(), period=meta["discard_s"], least_other_uts=min(others) if others else None
         )
         array, age = self._id(s), min(own[a]["data_age"] for a in arrays)
-        fill = {"vertree": F.lit(vertree).cast("long"), "array_id": F.lit(array).cast("long"), "data_age": F.lit(age).cast("long"), "value": F.lit(None).cast("binary"), "uts": F.lit(0).cast("long")}
-        out = out.withColumns({k: v for k, v in fill.items() if k in ("vertree", "array_id", "data_age") or k not in out.columns})
+        fill = {"vertree": F.lit(vertree).cast("long"), "array_id": F.lit(array).cast("long"), "data_age": F.lit(age).cast("long"), "uts": F.coalesce("uts", F.lit(0)).cast("long")}
+        out = out.withColumns(fill)
         return self._publish(s, vertree, array, age, out.select(*LOG.names), "MERGE_WORK_FINISHED", replaces=arrays)
 
     # incremental backup

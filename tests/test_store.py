@@ -80,12 +80,26 @@ def test_counters(spark, store):
     store.snapshot("n")
     store.count("n", one(10))
     assert store.read_counters("n").first()["n"] == 17
-    store.merge(tree, [r["array_id"] for r in store.arrays().collect()], counter=True)
+    store.merge(tree, [r["array_id"] for r in store.arrays().collect()])
     assert store.read_counters("n").first()["n"] == 17
     with refused("EINVAL"):
         store.write("n", spark.createDataFrame([([b"k"], "COUNTER_ADD")], "dims array<binary>, op string"))
 
 
+def test_values_beside_counters_survive_a_merge(spark, store):
+    tree, root = store.create_vertree(timestamped=False)
+    store.attach("m", root)
+    store.put("m", rows(spark, (["v"], "kept", 0), (["w"], "old", 0)))
+    store.count("m", spark.createDataFrame([([b"k"], 4), ([b"w"], 2)], "dims array<binary>, n long"))
+    store.snapshot("m")
+    store.count("m", spark.createDataFrame([([b"k"], 3)], "dims array<binary>, n long"))
+    before = {(bytes(r["dims"][0]), r["op"], r["n"]) for r in store.read_counters("m").collect()}
+    store.merge(tree, [r["array_id"] for r in store.arrays().collect()])
+    assert {(bytes(r["dims"][0]), r["op"], r["n"]) for r in store.read_counters("m").collect()} == before
+    assert (b"k", "COUNTER_SET", 7) in before
+    assert content(store.get("m", [b"v"])) == {("v",): "kept"}
+
+
 def test_refusals(spark, store):
     tree, root = store.create_vertree()
     other, other_root = store.create_vertree()
