@@ -146,8 +146,8 @@ def one_version_counts(log: DataFrame, keys: list[str], pieces: int = PIECES) ->
 def timestamp_rejects(log: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:
     """Writes older by user timestamp than an earlier write that their version sees.
 
-    The reference rejects such a write in memory; here all rows stay and lose at
-    read time, which gives the same answers.
+    A store that resolves in memory rejects such a write; here all rows stay and
+    lose at read time, which gives the same answers.
     """
     pairs = versions.select(F.col("v"), F.col("o").alias("qo"))
     a = versions.select(F.col("v").alias("av"), F.col("o").alias("ao"), F.col("r").alias("ar"))

@@ -23,6 +23,8 @@ from palimpsest.operators import compaction, reads, resolve, stats
 from palimpsest.schema import COUNTER_ADD, COUNTER_SET, LOG, OPS, TOMBSTONE, VALUE, StoreError
 from palimpsest.versions import Version, VersionTree
 
+#: Catalogues kept, the newest included.
+KEPT_CATALOGUES = 100
 _EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": []}
 
 
@@ -52,6 +54,8 @@ class Store:
         if self._fs.exists(to) or not self._fs.rename(aside, to):
             self._fs.delete(aside, False)
             raise StoreError(4, "another writer changed the catalogue")
+        # readers work on the newest; older ones stay a while for those that just looked
+        self._fs.delete(self._path(f"{self.root}/catalogue/{number - KEPT_CATALOGUES:012d}.json"), False)
 
     def state(self) -> dict:
         """The catalogue as it is now: the snapshot that one request works on."""
