@@ -61,7 +61,7 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         return
 
 
-def staged(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, what: str, level: int = 3) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Columnar and compressed, so cheaper than a checkpoint for wide tables. The
@@ -70,7 +70,7 @@ def staged(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     atexit.register(_remove_quietly, spark, path)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,6 +25,8 @@ from palimpsest.workers import map_batches
 
 #: Ids in a sequence, sequences in a shard, rounds of the permutation.
 SEQUENCE, SHARD, ROUNDS = 2048, 4096, 6
+#: Sequences that serve as a compression dictionary for what goes through the shuffle.
+DICTIONARY = 128
 _CHUNK = 1 << 20
 
 
@@ -82,14 +84,13 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
     Texts follow one another in the order of the partition, each with an end id;
     doc_ids and starts tell which texts begin or go on in a sequence and where.
     Only the last sequence of a partition is filled up with end ids; n_tokens are
-    its own. ids are little-endian 16-bit numbers, compressed (``unpack_ids``).
+    its own. ids are little-endian 16-bit numbers.
     """
     end = tokenizer.end
     if end >= 1 << 16:
         raise ValueError("ids do not fit 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
         from pyspark import TaskContext
 
         encode, part = tokenizer.load().encode_ordinary, TaskContext.get().partitionId()
@@ -114,9 +115,9 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
                 if stop > n * sequence:
                     after.append((doc, max(0, start - n * sequence), stop - n * sequence))
             data = body.astype("<u2").tobytes()
-            stride, squeeze = 2 * sequence, zstandard.ZstdCompressor(level=3).compress
+            stride = 2 * sequence
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array([squeeze(data[i * stride : (i + 1) * stride]) for i in range(n)], pa.binary())],
+                [pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array([data[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())],
                 ["part", "seq", "n_tokens", "doc_ids", "starts", "ids"],
             )
             held, spans, size, seq = [rest], after, len(rest), seq + n
@@ -136,13 +137,6 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
     return map_batches(texts, run, "part int, seq long, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
 
 
-def unpack_ids(data: bytes) -> bytes:
-    """The ids of a packed sequence."""
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int = 17, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
     """Write the shards; (slot, shard, offset, n_tokens, crc, doc_ids, starts) of each sequence.
 
@@ -152,7 +146,7 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
     with a null doc_id are written like others; an empty table writes nothing.
     Packing follows the partitions of the input, and the same input is packed alike.
     """
-    packed = staged(pack(docs, tokenizer, sequence), "packed", codec="uncompressed")
+    packed = staged(pack(docs, tokenizer, sequence), "packed", level=6)
     # one number for each input partition comes to the driver
     counts = sorted((r["part"], r["n"]) for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)
@@ -160,17 +154,29 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
     for part, c in counts:
         bases[part], base = base, base + c
     base_of = docs.sparkSession.sparkContext.broadcast(bases)
+    sample = b"".join(bytes(r["ids"]) for r in packed.select("ids").limit(DICTIONARY).collect())
+    words = docs.sparkSession.sparkContext.broadcast(sample)
+
+    def dictionary():  # noqa: ANN202
+        import zstandard
+
+        return zstandard.ZstdCompressionDict(words.value, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=6, dict_data=dictionary()).compress
+        for batch in slices(batches, 1024):
             part, seq = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             index = np.array([base_of.value[p] for p in part.tolist()], np.int64) + seq
             slots = permute(index, n, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard).astype(np.int32)), *batch.columns[2:]], ["slot", "shard", "n_tokens", "doc_ids", "starts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard).astype(np.int32)), *batch.columns[2:5], pa.array([squeeze(x.as_buffer()) for x in batch.column(5)], pa.binary())], ["slot", "shard", "n_tokens", "doc_ids", "starts", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyarrow import fs
 
+        unpack = zstandard.ZstdDecompressor(dict_data=dictionary()).decompress
         store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(root, recursive=True)
         out, name, number, kept = None, "", -1, []
@@ -194,7 +200,7 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
                     number = int(shards[lo])
                     name = f"{root}/.shard-{number:06d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
-                data = [unpack_ids(x.as_buffer()) for x in batch.column(5).slice(lo, hi - lo)]
+                data = [unpack(x.as_buffer()) for x in batch.column(5).slice(lo, hi - lo)]
                 for x in data:
                     out.write(x)
                 slots = batch.column(0).slice(lo, hi - lo)
