@@ -79,11 +79,11 @@ def _hashes(words: Column, width: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, n, p, width, h, raw, words): the windows of each item.
+    """(item_id, n, p, width, h, raw, words, telling): the windows of each item.
 
     An item shorter than a window is one window of its own width. Windows of
-    placeholders with less than half of their words their own say nothing and are
-    left out, unless the item has no others.
+    placeholders with less than half of their words their own say nothing by
+    themselves and are not telling, unless the item has no others.
     """
     items = benchmark.select(F.col("item_id"), raw_words(F.col("text")).alias("raw"), template_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.select("*", F.size("words").alias("n"), F.least(F.size("words"), F.lit(window)).alias("width"))
@@ -93,28 +93,34 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     own = F.size(F.filter(cut("words"), lambda w: ~w.startswith("\x01")))
     rows = rows.select("item_id", "n", "width", "p", "h", cut("raw").alias("raw"), cut("words").alias("words"), (own * 2 >= F.col("width")).alias("telling"))
     some = F.max("telling").over(Window.partitionBy("item_id"))
-    return rows.select("*", some.alias("some")).where("telling or not some").drop("telling", "some")
+    return rows.withColumn("telling", F.col("telling") | ~some)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n, p, d, width, raw, words, doc_raw, doc_words) of windows that met.
-
-    d is the distance of the two positions. Only the words of met windows leave
-    the scan where the benchmark's windows are few enough to broadcast.
-    """
-    items = staged(item_windows(benchmark, window), "item-windows")
-    widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``window`` numbers
-    texts = docs.select("doc_id", "text", template_words(F.col("text")).alias("doc_words")).where("doc_id is not null")
+def _meet(texts: DataFrame, items: DataFrame, widths: list[int], hashed: str) -> list[DataFrame]:
+    """For each width, the windows of ``texts`` (their words in column ``hashed``) that have the hash of one of ``items``."""
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     met = []
     for width in widths:
         # a column exploded as outer: compiled, so that no text is copied, and without a filter that computes it twice
-        hashed = texts.withColumn("hashes", _hashes(F.col("doc_words"), width)).select("doc_id", "text", "doc_words", F.posexplode_outer("hashes").alias("q", "h"))
+        rows = texts.withColumn("hashes", _hashes(F.col(hashed), width)).select(*texts.columns, F.posexplode_outer("hashes").alias("q", "h"))
         keys = items.where(F.col("width") == width)
         if small:
-            met.append(hashed.join(F.broadcast(keys), "h"))
+            met.append(rows.join(F.broadcast(keys), "h"))
         else:
-            met.append(hashed.select("doc_id", "q", "h").join(keys, "h").join(texts, "doc_id"))
+            met.append(rows.select("doc_id", "q", "h").join(keys, "h").join(texts, "doc_id"))
+    return met
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n, p, d, width, raw, words, doc_raw, doc_words) of telling windows that met.
+
+    d is the distance of the two positions. Only the words of met windows leave
+    the scan where the benchmark's windows are few enough to broadcast.
+    """
+    items = items.where("telling").drop("telling")
+    widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``window`` numbers
+    texts = docs.select("doc_id", "text", template_words(F.col("text")).alias("doc_words")).where("doc_id is not null")
+    met = _meet(texts, items, widths, "doc_words")
     if not met:
         met = [texts.select("doc_id", "text", "doc_words", F.lit(0).alias("q")).join(items, F.lit(False))]
     rows = reduce(DataFrame.unionByName, met)
@@ -125,29 +131,66 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     )
 
 
+def literal(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id, n, p, d, width) of windows too poor in own words that met word for word; None without such windows."""
+    items = items.where("not telling").select("item_id", "n", "p", "width", F.transform("raw", F.lower).alias("raw"))
+    widths = [r[0] for r in items.select("width").distinct().collect()]
+    if not widths:
+        return None
+    items = items.withColumn("h", reduce(lambda c, w: c.when(F.col("width") == w, _hashes(F.col("raw"), w)[0]), widths, F))
+    texts = docs.select("doc_id", F.transform(raw_words(F.col("text")), F.lower).alias("doc_raw")).where("doc_id is not null")
+    rows = reduce(DataFrame.unionByName, _meet(texts, items, widths, "doc_raw"))
+    rows = rows.withColumn("doc_raw", F.slice("doc_raw", F.col("q") + 1, F.col("width"))).where(_equal("raw", "doc_raw"))
+    return rows.select("doc_id", "item_id", "n", "p", (F.col("q") - F.col("p")).alias("d"), "width")
+
+
+def beside(docs: DataFrame, items: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of ``matches`` for windows too poor in own words, where a telling window of the item met at the same distance."""
+    poor = items.where("not telling").drop("telling", "h")
+    at = met.select("doc_id", "item_id", "d").distinct().join(poor, "item_id")
+    texts = docs.select("doc_id", template_words(F.col("text")).alias("all_words"), raw_words(F.col("text")).alias("all_raw")).where("doc_id is not null")
+    first = F.col("p") + F.col("d") + 1
+    rows = at.join(texts, "doc_id").where((first >= 1) & (first + F.col("width") - 1 <= F.size("all_words")))
+    part = lambda c: F.slice(c, F.greatest(first, F.lit(1)), F.col("width"))
+    return rows.select("doc_id", "item_id", "n", "p", "d", "width", "raw", "words", part("all_words").alias("doc_words"), part("all_raw").alias("doc_raw"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, covered: float = COVERED) -> DataFrame:
     """(doc_id, item_id, coverage, verbatim): the items that documents hold.
 
     coverage is the part of the item's words in windows met. A window whose slots
     are as in the item counts; one with other values counts if all windows of its
-    stretch (those at one distance) map the slots one to one. Pairs below
+    stretch (those at one distance) map the slots one to one. Windows poor in own
+    words count where the document has them word for word, and with other values
+    only beside a telling one in a stretch that is one to one as a whole. Pairs below
     ``covered`` are left out, and so are clean documents. verbatim tells whether
     the windows as in the item suffice. Null and empty texts hold nothing; items
     without words are passed over; rows with a null doc_id cannot be named and
     are not searched; repeated rows and items count once; other columns are not read.
     """
-    rows = matches(docs, benchmark, window).where(_equal("words", "doc_words"))  # exact check behind the hashes
+    items = staged(item_windows(benchmark, window), "item-windows")
+    rows = matches(docs, items).where(_equal("words", "doc_words")).withColumn("telling", F.lit(True))  # exact check behind the hashes
+    if not items.where("not telling").isEmpty():
+        rows = staged(rows, "met-windows")
+        rows = rows.unionByName(beside(docs, items, rows).where(_equal("words", "doc_words")).withColumn("telling", F.lit(False)))
     slots = F.filter(
         F.zip_with(F.arrays_zip("words", "raw"), "doc_raw", lambda a, b: F.struct(a["words"].alias("kind"), F.lower(a["raw"]).alias("item"), F.lower(b).alias("doc"))),
         lambda s: s["kind"].startswith("\x01"),
     )
-    rows = rows.select("doc_id", "item_id", "n", "p", "d", "width", slots.alias("slots")).distinct()
+    rows = rows.select("doc_id", "item_id", "n", "p", "d", "width", "telling", slots.alias("slots"))
     rows = rows.select("*", F.forall("slots", lambda s: s["item"] == s["doc"]).alias("same"))
-    # a stretch holds at most one window for each word of its item
-    stretch = rows.groupBy("doc_id", "item_id", "n", "d").agg(F.collect_set(F.struct("p", "width", "same")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    kinds = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
-    consistent = (kinds("item") == F.size("slots")) & (kinds("doc") == F.size("slots"))
-    windows = stretch.select("doc_id", "item_id", "n", consistent.alias("consistent"), F.inline("at")).where("same or consistent")
+    if (word_for_word := literal(docs, items)) is not None:
+        rows = rows.unionByName(word_for_word.select("*", F.lit(False).alias("telling"), F.array().cast(rows.schema["slots"].dataType).alias("slots"), F.lit(True).alias("same")))
+    rows = rows.distinct()
+    # a stretch holds at most one window for each word of its item, twice if it is poor in own words
+    slots_of = lambda which: F.array_distinct(F.flatten(F.collect_set(which)))
+    stretch = rows.groupBy("doc_id", "item_id", "n", "d").agg(
+        F.collect_set(F.struct("p", "width", "same", "telling")).alias("at"), slots_of(F.when(F.col("telling"), F.col("slots"))).alias("slots"), slots_of(F.col("slots")).alias("all_slots"), F.max("telling").alias("told")
+    )
+    kinds = lambda c, side: F.size(F.array_distinct(F.transform(c, lambda s: F.struct(s["kind"], s[side]))))
+    one_to_one = lambda c: (kinds(c, "item") == F.size(c)) & (kinds(c, "doc") == F.size(c))
+    windows = stretch.select("doc_id", "item_id", "n", one_to_one("slots").alias("consistent"), (F.col("told") & one_to_one("all_slots")).alias("all_consistent"), F.inline("at"))
+    windows = windows.where("same or (telling and consistent) or (not telling and all_consistent)")
     words = windows.select("doc_id", "item_id", "n", "same", F.explode(F.sequence("p", F.col("p") + F.col("width") - 1)).alias("word"))
     found = words.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("word").alias("found"), F.countDistinct(F.when(F.col("same"), F.col("word"))).alias("same"))
     found = found.where(F.col("found") >= F.col("n") * covered)
