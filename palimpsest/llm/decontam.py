@@ -132,8 +132,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def literal(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(doc_id, item_id, n, p, d, width) of windows too poor in own words that met word for word; None without such windows."""
-    items = items.where("not telling").select("item_id", "n", "p", "width", F.transform("raw", F.lower).alias("raw"))
+    """(doc_id, item_id, n, p, d, width) of windows that met word for word, in any letter case; None without windows.
+
+    Names, and so templates, hang on capitals: these windows need none.
+    """
+    items = items.select("item_id", "n", "p", "width", F.transform("raw", F.lower).alias("raw"))
     widths = [r[0] for r in items.select("width").distinct().collect()]
     if not widths:
         return None
@@ -182,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     if (word_for_word := literal(docs, items)) is not None:
         rows = rows.unionByName(word_for_word.select("*", F.lit(False).alias("telling"), F.array().cast(rows.schema["slots"].dataType).alias("slots"), F.lit(True).alias("same")))
     rows = rows.distinct()
-    # a stretch holds at most one window for each word of its item, twice if it is poor in own words
+    # a stretch holds at most one window for each word of its item, twice if also word for word
     slots_of = lambda which: F.array_distinct(F.flatten(F.collect_set(which)))
     stretch = rows.groupBy("doc_id", "item_id", "n", "d").agg(
         F.collect_set(F.struct("p", "width", "same", "telling")).alias("at"), slots_of(F.when(F.col("telling"), F.col("slots"))).alias("slots"), slots_of(F.col("slots")).alias("all_slots"), F.max("telling").alias("told")

@@ -24,3 +24,13 @@ def test_items_of_numbers(spark, monkeypatch, text, found, verbatim, broadcast):
     docs = spark.createDataFrame([(1, text), (None, ITEM), (3, "nothing of it 1 2 3 4 5 6")], "doc_id long, text string")
     got = decontam.contaminated(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["verbatim"]) for r in got] == ([(1, verbatim)] if found else [])
+
+
+NAMES = "So Tom paid Ann and then Sue met Bob and Eve with a dog in Leeds before Max sold it to Liz in York"
+
+
+def test_copies_in_other_letter_case(spark):
+    texts = [NAMES.lower(), NAMES.upper(), NAMES.title(), NAMES.lower().replace("tom", "max").replace("and", "or")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(7, NAMES)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["verbatim"]) for r in got) == [(0, True), (1, True), (2, True)]
