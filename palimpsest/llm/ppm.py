@@ -9,7 +9,8 @@ holds, pads the start and ends the text.
 The pretrained model counts contexts of up to four bytes over the whole training
 set. What travels to the workers is bounded: at most ``TRIE_PAIRS`` pairs of a
 context of two to four bytes and a next byte, of the contexts seen most often,
-and all shorter ones. Since every context holds the bytes seen after any longer
+and all shorter ones. Bytes behind any other context are counted for each text and
+joined with the whole tables, so that the bound changes no score. Since every context holds the bytes seen after any longer
 one, what an exclusion takes away is one number a context, and scores come from
 hash tables in numpy arrays, level by level, for many texts at once. The adaptive
 model (any order) starts from an empty trie with each document.
@@ -155,6 +156,11 @@ class Model:
     pairs: Table  # log10 of: probability as the longest context; count
     contexts: Table  # log10 of: escape as the longest context; rest behind an exclusion in the next shorter one; escape from that
     floor: float
+    whole: bool = True  # no context was left out
+
+    def missed(self, code: np.ndarray) -> np.ndarray:
+        """Which bytes of ``windows`` this trie may not tell: those behind four bytes that it lacks."""
+        return np.zeros(len(code), bool) if self.whole else self.contexts.find(_tag(code >> 8, ORDER)) < 0
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """Log probabilities of the bytes of ``windows``."""
@@ -181,6 +187,17 @@ class Model:
         out[rows] += self.floor
         return out
 
+    def split_score(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Scores without the bytes missed, and these for each text: (codes, counts)."""
+        total, rest = np.zeros(len(texts)), [[np.empty((2, 0), np.int64)] for _ in texts]
+        for code, owner in windows(texts):
+            out = self.missed(code)
+            total += np.bincount(owner[~out], self.log10(code[~out]), len(texts))
+            code, owner = code[out], owner[out]
+            for t in np.unique(owner).tolist():
+                rest[t].append(np.stack(np.unique(code[owner == t], return_counts=True)))
+        return total, [tuple(np.concatenate(r, axis=1)) for r in rest]
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         total = np.zeros(len(texts))
         for code, owner in windows(texts):
@@ -254,7 +271,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def train_model(docs: DataFrame, pairs: int = TRIE_PAIRS) -> Model:
-    """Count the contexts of all texts; keep those of the bounded trie.
+    """The bounded trie of ``trained``."""
+    return trained(docs, pairs)[0]
+
+
+def trained(docs: DataFrame, pairs: int = TRIE_PAIRS) -> tuple[Model, list[DataFrame]]:
+    """The bounded trie, and the whole tables (code, n) of each order from 0 on.
+
+    Count the contexts of all texts; keep those of the bounded trie.
 
     Contexts of two bytes or more are ranked by how often they were seen, in
     classes of counts (at most a few hundred rows come to the driver for that),
@@ -281,7 +305,38 @@ def train_model(docs: DataFrame, pairs: int = TRIE_PAIRS) -> Model:
             level = level.withColumn("context", F.shiftright("code", 8)).join(kept, "context", "left_semi").select("code", "n")
         table = level.toArrow()
         got.append((table.column(0).to_numpy(), table.column(1).to_numpy()))
-    return build(got)
+    model = build(got)
+    model.whole = held <= pairs
+    return model, levels
+
+
+def exact(codes: DataFrame, levels: list[DataFrame], floor: float) -> DataFrame:
+    """(code, log10) of distinct codes of ``windows`` by the whole tables, as ``Trie.log10``."""
+    low = lambda k: F.col("code").bitwiseAND((1 << (8 * k)) - 1)
+    rows, below = codes, None
+    for k, level in enumerate(levels):
+        context = F.shiftright("code", 8)
+        if below is None:
+            found = level.groupBy(context.alias("context")).agg(F.sum("n").alias("t0"), F.count(F.lit(1)).alias("d0"), F.lit(0).cast("long").alias("fn0"), F.lit(0).cast("long").alias("fd0"))
+        else:
+            shorter = levels[k - 1].select(F.col("code").alias("shorter"), F.col("n").alias("same"))
+            found = level.withColumn("shorter", low(k)).join(shorter, "shorter").groupBy(context.alias("context")).agg(F.sum("n").alias(f"t{k}"), F.count(F.lit(1)).alias(f"d{k}"), F.sum("same").alias("same"))
+            found = found.withColumn("suffix", F.col("context").bitwiseAND((1 << (8 * (k - 1))) - 1)).join(below.select(F.col("context").alias("suffix"), F.col(f"t{k - 1}").alias("t"), F.col(f"d{k - 1}").alias("d")), "suffix")
+            found = found.select("context", f"t{k}", f"d{k}", (F.col("t") - F.col("same")).alias(f"fn{k}"), (F.col("d") - F.col(f"d{k}")).alias(f"fd{k}"))
+        rows = rows.withColumn("own", low(k + 1)).join(level.select(F.col("code").alias("own"), F.col("n").alias(f"n{k}")), "own", "left")
+        rows = rows.withColumn("context", F.shiftright("own", 8)).join(found, "context", "left").drop("own", "context")
+        below = found
+    value = F.lit(floor)  # rows that end in a longer context get values here too, which go unused
+    for k, _ in enumerate(levels):  # from the shortest context on: what is left to pay once k is reached
+        n, t, d = F.col(f"n{k}"), F.col(f"t{k}"), F.col(f"d{k}")
+        fresh = F.when(n.isNotNull(), F.log10(n / (t + d))).otherwise(F.when(t.isNotNull(), F.log10(d / (t + d))).otherwise(0.0) + value)
+        if k < ORDER:
+            free_n, free_d = F.col(f"fn{k + 1}"), F.col(f"fd{k + 1}")
+            behind = F.when(n.isNotNull(), F.log10(F.try_divide(n, free_n + free_d))).otherwise(F.when(free_d > 0, F.log10(F.try_divide(free_d, free_n + free_d))).otherwise(0.0) + value)
+            fresh = F.when(F.col(f"t{k + 1}").isNotNull(), behind).otherwise(fresh)
+        rows = rows.withColumn(f"v{k}", fresh)
+        value = F.col(f"v{k}")
+    return rows.select("code", value.alias("log10"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -313,7 +368,8 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS, pairs
     training texts every byte costs log10(256). Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train_model(train, pairs))
+    trie, levels = trained(train, pairs)
+    model = spark.sparkContext.broadcast(trie)
     words = staged(word_counts(train), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     below = math.log10(total + 0.5 * (distinct + 1))
@@ -335,14 +391,19 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS, pairs
                 for x, v in zip(out, (len(tokens), len(c), float((np.log10(c + 0.5) - below).sum()), list(rare), list(rare.values() if rare else ()))):
                     x.append(v)
             n = len(texts)
+            scores, missed = model.value.split_score(texts)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(model.value.score(texts), pa.float64()), *(pa.array(x, k) for x, k in zip(out, kinds))],
-                ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rare", "counts"],
+                [pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array(scores, pa.float64()), *(pa.array(x, k) for x, k in zip(out, kinds)), *(pa.array([m[i] for m in missed], pa.list_(pa.int64())) for i in (0, 1))],
+                ["row", "doc_id", "score", "n_tokens", "n_known", "base_score", "rare", "counts", "codes", "times"],
             )
             row += n
 
-    rows = staged(map_batches(_binary(docs), run, "row long, doc_id long, score double, n_tokens long, n_known long, base_score double, rare array<binary>, counts array<long>"), "scores")
+    rows = staged(map_batches(_binary(docs), run, "row long, doc_id long, score double, n_tokens long, n_known long, base_score double, rare array<binary>, counts array<long>, codes array<long>, times array<long>"), "scores")
+    if not trie.whole:
+        missed = rows.select("row", F.explode(F.arrays_zip("codes", "times")).alias("t")).select("row", F.col("t.codes").alias("code"), F.col("t.times").alias("times"))
+        left = missed.join(exact(missed.select("code").distinct(), levels, trie.floor), "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("left"))
+        rows = rows.join(left, "row", "left").withColumn("score", F.col("score") + F.coalesce("left", F.lit(0.0))).drop("left")
     tail = (
         rows.select("row", F.explode(F.arrays_zip("rare", "counts")).alias("t"))
         .select("row", F.col("t.rare").alias("word"), F.col("t.counts").alias("n"))
@@ -350,7 +411,7 @@ def score(docs: DataFrame, train: DataFrame, head_terms: int = HEAD_TERMS, pairs
         .groupBy("row")
         .agg(F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - below)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("more_known"))
     )
-    return rows.drop("rare", "counts").join(tail, "row", "left").select(
+    return rows.drop("rare", "counts", "codes", "times").join(tail, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
     )
 
