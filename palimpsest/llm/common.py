@@ -74,18 +74,19 @@ def staged(df: DataFrame, what: str, level: int = 3) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids up to so many are broadcast to leave rows out; more meet them in a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys (an id and a hash) up to so many are broadcast to leave rows out; more meet them in a shuffle.
+BROADCAST_KEYS = 500_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not among ``ids`` (one column), null ids included.
+def without_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, xxhash64 of text) is not among ``keys``, null ids included.
 
-    The ids are counted first: while they are few the texts need no shuffle.
+    The keys are counted first: while they are few the texts need no shuffle.
     """
-    ids = cut(ids)
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, name, "left_anti").select(docs.columns)
+    keys = cut(keys.toDF("__doc_id", "__hash").distinct())
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    on = (docs["doc_id"] == keys["__doc_id"]) & (F.xxhash64(docs["text"]) == keys["__hash"])
+    return docs.join(F.broadcast(keys) if few else keys, on, "left_anti").select(docs.columns)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

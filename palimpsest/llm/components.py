@@ -30,10 +30,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds if state[0] else 0):
         # large star: hang every larger neighbour of u on the least node near u
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # (written out first, so that the join deals both sides anew and may split the rows of a hub)
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: hang the smaller neighbours of u, and u, on the least of them
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        root = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(root.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(now)

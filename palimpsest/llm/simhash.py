@@ -1,52 +1,44 @@
 """SimHash near-duplicates through a binary trie self-join.
 
-Fingerprints are sorted, so that a trie node is a range of rows and its two
-children meet at one cut. The join walks pairs of nodes of equal depth, adds a
-bit wherever the two branches differ, and drops a pair once that passes the
-error budget. It runs inside buckets: six blocks of bits of which two distinct
-fingerprints within four bits share at least two, so the fifteen pairs of blocks
-give every link a bucket (about 2**21 buckets a pair). Buckets above a bound are
-cut into cells, pairs of salts, and every pair of rows meets in one of them.
+The join runs over three tries, each on the fingerprints turned so that another
+third of the bits leads. Two fingerprints within ``bits`` have a third in which at
+most a third of these differ, so that trie keeps a tight budget over its leading
+bits and the whole budget below. A pair of nodes at some depth is a cell, and a
+task's work: a row goes to the cell of its own node and to those of the nodes
+that the budget allows beside it. Cells of too many rows go deeper, which takes
+them apart as the join itself does, until they fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, slices, staged, without_ids
+from palimpsest.llm.common import cut, slices, staged, without_keys
 from palimpsest.llm.components import connected_components
+from palimpsest.llm.trie import TrieJoin, digests, majority
 from palimpsest.workers import map_batches
 
 #: Words in a shingle and differing bits allowed.
 SHINGLE, BITS = 4, 4
-#: Rows of one bucket that one task joins; larger buckets are cut into cells.
-CELL_ROWS = 20_000
-_FRONTIER = 200_000
+#: Tries; the leading bits of each that keep the tight budget.
+TRIES = 3
+LEADING = 64 // TRIES
+#: Rows of a trie node at the depth where the join is dealt out, the least depth, and rows of one cell that one task joins.
+NODE_ROWS, LEAST_DEPTH, CELL_ROWS = 8192, 6, 200_000
+#: Levels that a cell too large is taken down at once, and the last level for that.
+STEP, DEEPEST = 4, 60
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text given as UTF-8; zero without words."""
-    import xxhash
-
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, 42)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    starts, ends = [0, *ends[:-1]], ends[shingle - 1 :]
-    ones, n = np.zeros(64, np.int64), len(ends)
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(joined[s : e - 1], 42) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(digests(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -61,153 +53,108 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(rows, run, "doc_id long, fp long")
 
 
-def block_pairs(bits: int) -> list[tuple[int, ...]]:
-    """Masks of ``bits`` + 2 blocks, as the combinations of two blocks kept equal."""
-    n = bits + 2
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    return [(i, j, edges[i], edges[i + 1], edges[j], edges[j + 1]) for i, j in combinations(range(n), 2)]
+def budget(depth: int, bits: int) -> int:
+    """Bits that may differ among the first ``depth`` of a trie."""
+    return bits // TRIES if depth <= LEADING else bits
 
 
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    while True:
-        a, b = label[i], label[j]
-        if not (apart := a != b).any():
-            return label
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(label, up := label[label]):
-            label = up
+def _turned(fp: Column, by: int) -> Column:
+    return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
+
+
+def _back(turned: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.where(by == 0, turned, (turned >> by) | (turned << (np.uint64(64) - by) % np.uint64(64)))
 
 
-def trie_join(keys: np.ndarray, u: np.ndarray, bits: int) -> np.ndarray:
-    """Join rows sorted by (key, u) within each key; the label (a row) of each row.
+def _deeper(rows: DataFrame, depth: int, step: int, bits: int) -> DataFrame:
+    """Rows (trie, turned, lo, x) of the cells ``step`` levels below those at ``depth``.
 
-    Rows get the same label if a chain of links of at most ``bits`` differing
-    bits ties them. A node pair whose rows are all of one label is dropped: no
-    link in it can add anything.
+    A cell is the lesser prefix lo of its two nodes and the bits x in which they differ.
     """
-    n = len(u)
-    label = np.arange(n)
-    if n < 2:
-        return label
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    last = np.r_[first[1:], n]
-    keep = last - first > 1
-    lo, hi = first[keep], last[keep]
-    zero = np.zeros(len(lo), np.int64)
-    stack = [(0, np.stack([lo, hi, lo, hi, zero]))]
-    ones: dict[int, np.ndarray] = {}
-    changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
-    while stack:
-        depth, p = stack.pop()
-        if p.shape[1] > _FRONTIER:
-            stack.append((depth, p[:, _FRONTIER:]))
-            p = p[:, :_FRONTIER]
-        a0, a1, b0, b1, diff = p
-        settled = (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0]) & (label[a0] == label[b0])
-        same = a0 == b0
-        size = (a1 - a0) * (b1 - b0)
-        p = p[:, ~settled & ~(same & (a1 - a0 < 2))]
-        a0, a1, b0, b1, diff = p
-        size = (a1 - a0) * (b1 - b0)
-        small = (size <= 64) | (depth == 64)
-        if small.any():
-            q = p[:, small]
-            n_a, n_b = q[1] - q[0], q[3] - q[2]
-            for at, end in _runs(n_a * n_b, 4_000_000):
-                total = (n_a * n_b)[at:end]
-                which = np.repeat(np.arange(at, end), total)
-                k = np.arange(len(which)) - np.repeat(np.cumsum(total) - total, total)
-                i, j = q[0][which] + k // n_b[which], q[2][which] + k % n_b[which]
-                ok = i < j
-                i, j = i[ok], j[ok]
-                ok = np.bitwise_count(u[i] ^ u[j]) <= bits
-                if ok.any():
-                    label = _unite(label, i[ok], j[ok])
-                    changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
-        p = p[:, ~small]
-        if not p.shape[1]:
-            continue
-        if depth not in ones:
-            ones[depth] = np.r_[0, np.cumsum((u >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)]
-        c = ones[depth]
-        a0, a1, b0, b1, diff = p
-        am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
-        same = a0 == b0
-        near = [np.stack([a0, am, b0, bm, diff]), np.stack([am, a1, bm, b1, diff])]
-        far = [np.stack([a0, am, bm, b1, diff + 1]), np.stack([am, a1, b0, bm, diff + 1])[:, ~same]]
-        far = np.concatenate(far, axis=1)
-        near = np.concatenate(near, axis=1)
-        for x in (far, near):  # nearer pairs first: they settle labels
-            x = x[:, (x[0] < x[1]) & (x[2] < x[3]) & (x[4] <= bits)]
-            if x.shape[1]:
-                stack.append((depth + 1, x))
-    return label
-
-
-def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Cut into runs whose sizes add up to about ``most``."""
-    at, total = 0, np.cumsum(sizes)
-    while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
-        yield at, end
-        at = end
+    below, allowed = depth + step, budget(depth + step, bits)
+    masks = [sum(1 << b for b in c) for n in range(min(allowed, step) + 1) for c in combinations(range(step), n)]
+    rows = rows.select("trie", "turned", "x", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("m"))
+    rows = rows.where(F.bit_count("x") + F.bit_count("m") <= allowed)
+    x = F.shiftleft("x", step).bitwiseOR(F.col("m"))
+    own = F.shiftrightunsigned("turned", 64 - below)
+    return rows.select("trie", "turned", F.least(own, own.bitwiseXOR(x)).alias("lo"), x.alias("x"))
+
+
+def cells(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(trie, depth, lo, x, turned): the rows of every cell of the join."""
+    n = fps.count()
+    depth = min(LEADING, max(LEAST_DEPTH, (n // NODE_ROWS).bit_length()))
+    turns = F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), _turned(F.col("fp"), LEADING * t).alias("turned")) for t in range(TRIES))))
+    rows = _deeper(fps.select(turns.alias("r")).select("r.trie", "r.turned", F.lit(0).cast("long").alias("x")), 0, depth, bits)
+    by, fit = ["trie", "lo", "x"], []
+    while True:
+        cell = rows.select("trie", F.lit(depth).alias("depth"), "lo", "x", "turned")
+        node = F.shiftrightunsigned("turned", 64 - depth)
+        large = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ((F.col("x") == 0) | (F.min(node) < F.max(node))).alias("met")).where(F.col("n") > cell_rows))
+        if depth >= DEEPEST or large.isEmpty():
+            return reduce(DataFrame.unionByName, [*fit, cell])
+        fit.append(cell.join(large.select(*by), by, "left_anti").select(cell.columns))
+        # a large cell in which only one of the nodes has rows holds no pair
+        rows = _deeper(rows.join(large.where("met").select(*by), by, "left_semi"), depth, STEP, bits)
+        depth += STEP
+
+
+def join_cells(rows: np.ndarray, bits: int) -> tuple[np.ndarray, TrieJoin]:
+    """Join rows (trie, depth, lo, x, turned), sorted by all; (2, n) turned fingerprints tied, by rows, and the join."""
+    trie, depth, lo, x, turned = rows
+    u = turned.view(np.uint64)
+    join = TrieJoin(u, bits)
+    new = np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)] if len(u) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(u)] if len(first) else first
+    # rows of a cell sort by fingerprint, so those of its lesser node come first
+    own = (u >> (64 - depth).astype(np.uint64)).view(np.int64) if len(u) else lo
+    lower = np.r_[0, np.cumsum(own == lo)]
+    middle = first + lower[last] - lower[first]
+    for d in np.unique(depth[first]).tolist():
+        at = depth[first] == d
+        a0, am, a1 = first[at], middle[at], last[at]
+        alone = x[a0] == 0
+        pairs = np.stack([a0, np.where(alone, a1, am), np.where(alone, a0, am), a1, np.bitwise_count(x[a0]).astype(np.int64)])
+        pairs = pairs[:, (pairs[0] < pairs[1]) & (pairs[2] < pairs[3])]
+        for i, j in join.walk(d, pairs, lambda k: budget(k, bits)):
+            join.tie(i, j)
+    tied = np.flatnonzero(join.label != np.arange(len(u)))
+    return np.stack([tied, join.label[tied]]), join
 
 
 def near_edges(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges (a, b) that tie together all distinct fingerprints within ``bits``.
 
-    ``fps`` holds distinct signed fingerprints in column fp. Each bucket returns
-    a star for each of its linked sets, not all pairs: no connection is lost.
+    ``fps`` holds distinct signed fingerprints in column fp. Each cell returns a
+    star for each of its linked sets, not all pairs: no connection is lost.
     """
-    keys = []
-    for n, (_, _, s, e, s2, e2) in enumerate(block_pairs(bits)):
-        part = lambda x, y: F.shiftrightunsigned(F.shiftleft("fp", 64 - y), 64 - y + x)
-        keys.append(F.lit(n).cast("long") * (1 << 50) + part(s, e) * (1 << 25) + part(s2, e2))
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows))
-    if sizes.limit(1).count():
-        # A pair of salts is a cell: every pair of rows of a hot bucket shares one.
-        sizes = sizes.select("key", F.ceil(2 * F.col("n") / cell_rows).cast("int").alias("salts"))
-        rows = rows.join(sizes, "key", "left").withColumn("own", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")))
-        cells = F.transform(
-            F.sequence(F.lit(0), F.col("salts") - 1),
-            lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")),
-        )
-        none = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-        rows = rows.select("fp", "key", F.explode(F.when(F.col("salts").isNotNull(), cells).otherwise(none)).alias("cell")).select("fp", F.xxhash64("key", "cell.x", "cell.y").alias("bucket"), "key", "cell.x", "cell.y")
-    else:
-        rows = rows.select("fp", F.col("key").alias("bucket"), "key", F.lit(0).alias("x"), F.lit(0).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        rest = np.empty((5, 0), np.int64)
         for batch in batches:
-            now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            kept.append(now)
-            if (now[1:, 0] == now[1:, -1]).all() and now.shape[1]:
-                continue  # perhaps one long bucket: go on gathering it
-            rest = np.concatenate(kept, axis=1)
-            tail = rest.shape[1]
-            if tail:
-                moved = (rest[1:] != rest[1:, -1:]).any(axis=0)
-                tail = int(np.flatnonzero(moved)[-1]) + 1 if moved.any() else 0
-            if tail:
-                yield edges_of(rest[:, :tail])
-            kept = [rest[:, tail:]]
-        if kept and (rest := np.concatenate(kept, axis=1)).shape[1]:
-            yield edges_of(rest)
+            if not batch.num_rows:
+                continue
+            kept.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
+            if (kept[0][:4, 0] == kept[-1][:4, -1]).all():
+                continue  # perhaps one long cell: go on gathering it
+            rows = np.concatenate(kept, axis=1)
+            tail = int(np.flatnonzero((rows[:4] != rows[:4, -1:]).any(axis=0))[-1]) + 1
+            yield edges_of(rows[:, :tail])
+            kept = [rows[:, tail:]]
+        if kept:
+            yield edges_of(np.concatenate(kept, axis=1))
 
     def edges_of(rows: np.ndarray) -> pa.RecordBatch:
-        fp = rows[0]
-        u = fp.view(np.uint64) ^ np.uint64(1 << 63)
-        new = np.r_[True, (rows[1:, 1:] != rows[1:, :-1]).any(axis=0)]
-        label = trie_join(np.cumsum(new), u, bits)
-        tied = label != np.arange(len(u))
-        return pa.RecordBatch.from_arrays([pa.array(fp[tied], pa.int64()), pa.array(fp[label[tied]], pa.int64())], ["a", "b"])
+        (i, j), _ = join_cells(rows, bits)
+        back = (LEADING * rows[0][i]).astype(np.uint64)
+        a, b = (_back(rows[4][k].view(np.uint64), back).view(np.int64) for k in (i, j))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    by = ["bucket", "key", "x", "y"]
-    return map_batches(rows.select("fp", *by).repartition("bucket").sortWithinPartitions(*by, "fp"), run, "a long, b long")
+    by = ["trie", "depth", "lo", "x"]
+    # the sign bit is turned for sorting, so that rows come in unsigned order
+    unsigned = F.col("turned").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    return map_batches(cells(fps, bits, cell_rows).repartition(*by).sortWithinPartitions(*by, unsigned).select(*by, "turned"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -221,22 +168,45 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     """
     prints = staged(fingerprints(docs, shingle), "fingerprints")
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    labels = connected_components(near_edges(first.select("fp"), bits))
-    tied = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = tied.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named(first, near_edges(first.select("fp"), bits), "fp")
+    return prints.join(classes.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def named(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """(node, root, component_id) of all ``nodes`` (node, least_id): classes over ``edges`` (a, b) and their least ids."""
+    labels = connected_components(edges).withColumnRenamed("node", node)
+    tied = cut(nodes.join(labels, node, "left").select(node, "least_id", F.coalesce("component", node).alias("root")))
+    # written out, so that the join below deals both sides anew and may split a large class
+    least = cut(tied.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    return tied.join(least, "root").select(node, "root", "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their class: the least doc_id of each.
 
-    All columns stay as they are. Of repeated rows with one doc_id one stays.
-    Rows with a null doc_id stay.
+    Classes are those of ``jaccard.near_duplicates``: the trie join finds texts
+    whose fingerprints of five-word shingles are near, and their whole shingle
+    sets, at least four fifths alike, decide. All columns stay as they are. Where
+    different texts share a doc_id each counts for itself; of rows that repeat
+    doc_id and text one stays. Rows with a null doc_id stay.
     """
-    classes = near_duplicates(docs, shingle, bits).where("doc_id is not null")
-    rows = cut(classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
-    kept = without_ids(docs, rows.where("not stays").select("doc_id"))
-    if rows.where("stays and n > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    from palimpsest.llm import jaccard
+
+    rows = jaccard.near_duplicates(docs).select("doc_id", "text_hash", "root", "component_id")
+    rows = staged(rows.where("doc_id is not null"), "classes")
+    # several texts under the id of their class: the least hash stands for them
+    stands = rows.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("n"))
+    shared = cut(stands.where("n > 1"))
+    gone = rows.where("doc_id <> component_id").select("doc_id", "text_hash")
+    if shared.isEmpty():
+        return without_keys(docs, gone)
+    again = rows.where("doc_id = component_id").join(shared.select("doc_id", "root", F.col("text_hash").alias("kept")), ["doc_id", "root"])
+    kept = without_keys(docs, gone.union(again.where("text_hash <> kept").select("doc_id", "text_hash")))
+    repeated = cut(again.where("text_hash = kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if repeated.isEmpty():
+        return kept
+    keyed = kept.withColumn("__text_hash", F.xxhash64("text"))
+    many = repeated.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"))
+    on = (keyed["doc_id"] == F.col("__doc_id")) & (keyed["__text_hash"] == F.col("__hash"))
+    one = keyed.join(many, on, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+    return keyed.join(many, on, "left_anti").unionByName(one).select(docs.columns)

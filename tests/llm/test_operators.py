@@ -388,27 +388,6 @@ def cluster(seed, n=400):
     return sorted(out)[:n]
 
 
-@pytest.mark.parametrize("cell_rows", [20_000, 8])
-@pytest.mark.parametrize("seed", range(2))
-def test_trie_join_against_all_pairs(spark, seed, cell_rows):
-    fps = cluster(seed)
-    links = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    edges = simhash.near_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), cell_rows=cell_rows).collect()
-    group = lambda c: {frozenset(x for x in c if c[x] == r) for r in set(c.values())}
-    back = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges]
-    assert group(components(back, fps)) == group(components(links, fps))
-
-
-def test_one_bucket_of_many(spark):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, dtype=np.uint64)
-    u = np.unique(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 2), dtype=np.uint64), axis=1))
-    assert len(set(simhash.trie_join(np.zeros(len(u), int), u, 4))) == 1
-    u = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
-    assert len(set(simhash.trie_join(np.zeros(len(u), int), u, 4).tolist())) == len(u)
-
-
 # op10
 
 
