@@ -38,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         named = _own_dirs[app]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
+        remove_at_exit(spark, spark.sparkContext.getCheckpointDir())  # a folder of this application inside the shared one
     return named.rstrip("/")
 
 
@@ -47,6 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so that executors do not take it for a local one."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove_quietly, spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -69,7 +82,7 @@ def staged(df: DataFrame, what: str, level: int = 3) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
+    remove_at_exit(spark, path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

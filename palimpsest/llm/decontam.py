@@ -50,8 +50,8 @@ def plain_text(text: Column) -> Column:
 
 def capital_nouns(plain: Column) -> Column:
     """Whether a text is in a language in which a capital does not tell a name."""
-    small = F.regexp_count(plain, F.lit(rf"(?<![{_WORD}])(?:{'|'.join(NOUN_CAPITALS)})(?![{_WORD}])"))
-    return small * NOUN_CAPITALS_SHARE > F.regexp_count(plain, F.lit(r"[\x20\x09-\x0D]+"))
+    small = F.size(F.split(plain, rf" (?:{'|'.join(NOUN_CAPITALS)})(?= )")) - 1
+    return small * NOUN_CAPITALS_SHARE > F.length(plain) / 6  # a word takes six characters or so
 
 
 def template_text(plain: Column) -> Column:
@@ -69,8 +69,8 @@ def template_text(plain: Column) -> Column:
 
 
 def raw_words(text: Column) -> Column:
-    """Runs of letters and digits, word for word those of ``template_words``."""
-    return F.array_remove(F.split(plain_text(text), rf"[^{_WORD}\x02]+"), "")
+    """Runs of letters and digits in lower case, word for word those of ``template_words``."""
+    return F.array_remove(F.split(F.lower(plain_text(text)), rf"[^{_WORD}\x02]+"), "")
 
 
 def template_words(text: Column) -> Column:
@@ -88,10 +88,6 @@ def _hashes(words: Column, width: int) -> Column:
     )
 
 
-def _small(words: Column) -> Column:
-    return F.transform(words, F.lower)
-
-
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, item, n, p, width, by_template, by_word, raw, words, telling): the windows of each item.
 
@@ -100,7 +96,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     can meet. Windows of placeholders with less than half of their words their own
     say nothing by themselves and are not telling, unless the item has no others.
     """
-    items = benchmark.select("item_id", F.xxhash64("text").alias("item"), _small(raw_words(F.col("text"))).alias("raw"), template_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item"), raw_words(F.col("text")).alias("raw"), template_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = items.distinct().select("*", F.size("words").alias("n"), F.least(F.size("words"), F.lit(window)).alias("width"))
     rows = items.select("*", F.posexplode(F.arrays_zip(_hashes(F.col("words"), window).alias("t"), _hashes(F.col("raw"), window).alias("w"))).alias("p", "h"))
     part = lambda c: F.slice(c, F.col("p") + 1, F.col("width"))
@@ -112,7 +108,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def _texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, words, raw) of all texts with an id."""
     rows = docs.where("doc_id is not null")
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), template_words(F.col("text")).alias("words"), _small(raw_words(F.col("text"))).alias("raw"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), template_words(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw"))
 
 
 def met_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

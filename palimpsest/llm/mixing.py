@@ -5,7 +5,7 @@ training time from 0 to 1. The integral of the schedule says which part of the
 source's tokens has been read by each time; inverted, it gives every copy of a
 document the time at which it is read. Sorting by that range-partitions the mix.
 
-Order within a source is by a keyed hash of doc_id. Running sums go in two steps,
+Order within a source is by a keyed hash of doc_id and text. Running sums go in two steps,
 over 4096 hash buckets of a source and inside each bucket, so that a source with
 a third of all rows still spreads over thousands of groups.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import SPACE, staged
+from palimpsest.llm.common import SPACE, cut, staged
 
 #: Fixed values of the mix: weights by turns, the size of the mix, and copies at most.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -75,53 +75,74 @@ def reading_time(share: Column, segments: Column) -> Column:
     return s["t0"] + 2 * need / (s["w0"] + F.sqrt(F.greatest(s["w0"] * s["w0"] + 2 * slope * need, F.lit(0.0))))
 
 
+def _key(seed: str) -> Column:
+    """The order inside a source; texts without an id do not all have one key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+
+
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, schedules: tuple = SCHEDULES, seed: str = SEED) -> DataFrame:
     """One row a document: size, source_size, target, copies, taken and its reading times.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (size times
+    Returns doc_id, text_hash (xxhash64), source, size, source_size, target, copies, taken (size times
     copies) and positions (array, one time in [0, 1] a copy). Copies are whole
     documents: all as often as the target holds the source, and one more for the
     first documents in hash order up to the rest of the target, which is met to
     within half of one document. Sizes count words; null and empty texts have
     none and are taken with no words. Null sources are one source, the last.
     Rows that repeat a doc_id are documents of their own. Reruns agree, as all
-    order is by hash of doc_id and by size. An empty table gives an empty result.
+    order is by hash of doc_id and text. An empty table gives an empty result.
     """
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = staged(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key")), "sizes")
     # a broadcast bounded by the number of sources is left to the planner
     sources = targets(sizes, weights, share, repeats)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sizes.select("*", key.alias("key")).select("*", F.substring("key", 1, 3).alias("bucket"))
+    rows = sizes.select("*", F.substring("key", 1, 3).alias("bucket"))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_bucket.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     offsets = offsets.join(sources, offsets["source"].eqNullSafe(sources["source"])).select(offsets["source"].alias("of_source"), F.col("bucket").alias("of_bucket"), "offset", "nth", "source_size", "target")
     inner = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.select("doc_id", "source", "bucket", "size", F.coalesce(inner, F.lit(0)).alias("inner"))
+    rows = rows.select("doc_id", "text_hash", "source", "bucket", "size", F.coalesce(inner, F.lit(0)).alias("inner"))
     rows = rows.join(offsets, rows["source"].eqNullSafe(F.col("of_source")) & (rows["bucket"] == F.col("of_bucket")))
     start = F.col("offset") + F.col("inner")
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(0)
     rest = F.col("target") - F.col("full") * F.col("source_size")
     more = (F.col("size") > 0) & (F.col("full") < repeats) & (F.col("start") + F.col("size") / 2 <= rest)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "nth", start.alias("start"), full.cast("int").alias("full"))
+    rows = rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", "nth", start.alias("start"), full.cast("int").alias("full"))
     rows = rows.select("*", (F.col("full") + F.when(more, 1).otherwise(0)).alias("copies"))
     parts = F.element_at(F.array(*(_segments(s) for s in schedules)), (F.col("nth") % len(schedules) + 1).cast("int"))
     demand = lambda k: F.least((k * F.col("source_size") + F.col("start") + F.col("size") / 2) / F.greatest("target", F.lit(1.0)), F.lit(1.0))
     times = F.when(F.col("copies") < 1, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: reading_time(demand(k), parts)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), times.alias("positions"))
+    return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), times.alias("positions"))
+
+
+def in_order(rows: DataFrame, time: str, partitions: int | None = None) -> DataFrame:
+    """Rows range-sorted by a reading time in [0, 1]; those without one are dealt out and come last in each range.
+
+    Partitions hold equal ranges of time, known without sampling.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.coalesce(F.least(F.floor(F.col(time) * n), F.lit(n - 1)), F.pmod(F.xxhash64("doc_id"), F.lit(n))).cast("int")
+    return rows.repartitionById(n, at).sortWithinPartitions(F.col(time).asc_nulls_last(), "doc_id")
 
 
 def mixed(docs: DataFrame, partitions: int | None = None, **options: object) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its plan has copies, in reading order.
 
-    Partitions hold equal ranges of reading time, known without sampling, and are
-    sorted inside. Columns stay as they are. Needs distinct doc_ids: rows that share one, or have none, are
-    taken as often as all their plans together.
+    Columns stay as they are. Rows are told apart by doc_id and text, so rows that
+    share or lack an id are taken by their own plans. Rows that repeat both are
+    taken as often as their plans together: all alike, and what is left over by one
+    of them.
     """
-    shape = staged(plan(docs, **options).select("doc_id", "copies", "positions"), "plan")
-    shape = shape.where("copies > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("positions")).alias("__times"), F.count(F.lit(1)).alias("__rows"))
-    own = shape.select(F.col("doc_id").alias("__doc_id"), F.expr("slice(array_sort(__times), 1, greatest(1, cast(size(__times) / __rows as int)))").alias("__times"))
-    rows = docs.join(own, docs["doc_id"].eqNullSafe(own["__doc_id"])).withColumn("__time", F.explode("__times"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.least(F.floor(F.col("__time") * n), F.lit(n - 1)).cast("int")
-    return rows.repartitionById(n, at).sortWithinPartitions("__time", "__doc_id").select(docs.columns)
+    shape = staged(plan(docs, **options).select("doc_id", "text_hash", "copies", "positions"), "plan")
+    most = options.get("repeats", REPEATS)
+    times = F.array(*(F.min(F.get("positions", F.lit(k))) for k in range(most)))
+    shape = shape.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows"), times.alias("__times"))
+    shape = shape.where("__all > 0").select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__hash"), F.expr("cast(__all div __rows as int)").alias("__each"), F.expr("__all % __rows").alias("__more"), "__times")
+    on = lambda d: d["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(d["text"]) == F.col("__hash"))
+    rows = docs.join(shape, on(docs)).withColumn("__time", F.explode(F.slice("__times", 1, F.col("__each")))).select(*docs.columns, "__time")
+    left = cut(shape.where("__more > 0").drop("__each"))
+    if not left.isEmpty():
+        one = docs.join(left, on(docs)).dropDuplicates(["__doc_id", "__hash"])
+        more = one.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__more")))).withColumn("__time", F.array_max("__times"))
+        rows = rows.unionByName(more.select(*docs.columns, "__time"))
+    return in_order(rows, "__time", partitions).select(docs.columns)

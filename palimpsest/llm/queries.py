@@ -68,8 +68,8 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(read(spark, sf_dir, "documents"))
-    first = F.round(F.element_at("positions", 1), 6)
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("copies") > 0, first).alias("first_read"))
+    out = out.withColumn("first_read", F.when(F.col("copies") > 0, F.round(F.get("positions", F.lit(0)), 6)))
+    return mixing.in_order(out.select("doc_id", "size", "source_size", "target", "taken", "first_read"), "first_read")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ FROM m LEFT JOIN over USING (rid)
 """
 
 OP8_SQL = f"""
-WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH s AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + nth % 3] AS weight, source_size * 2.0::DOUBLE AS cap FROM t),
 u AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS rest,

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import shared_dir, slices, staged
+from palimpsest.llm.common import qualified, shared_dir, slices, staged
 from palimpsest.workers import map_batches
 
 #: Ids in a sequence, sequences in a shard, rounds of the permutation.
@@ -78,13 +79,25 @@ class Tokenizer:
             return sum(1 for line in f if line.strip())
 
 
-def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> DataFrame:
-    """(part, seq, n_tokens, doc_ids, starts, ids): sequences of each input partition.
+def file_window(docs: DataFrame) -> Column | None:
+    """The file that a row was read from, as its window; None for rows that come from no file.
+
+    Writers number their files by partition, so files keep the order of ranges.
+    """
+    try:
+        docs.select("_metadata.file_name")
+    except AnalysisException:
+        return None
+    return F.col("_metadata.file_name")
+
+
+def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE, window: Column | None = None) -> DataFrame:
+    """(window, part, seq, n_tokens, doc_ids, starts, ids): sequences of each window and input partition.
 
     Texts follow one another in the order of the partition, each with an end id;
     doc_ids and starts tell which texts begin or go on in a sequence and where.
-    Only the last sequence of a partition is filled up with end ids; n_tokens are
-    its own. ids are little-endian 16-bit numbers.
+    Only the last sequence of a window in a partition is filled up with end ids;
+    n_tokens are its own. Without ``window`` all is one window. ids are little-endian 16-bit numbers.
     """
     end = tokenizer.end
     if end >= 1 << 16:
@@ -94,10 +107,11 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
         from pyspark import TaskContext
 
         encode, part = tokenizer.load().encode_ordinary, TaskContext.get().partitionId()
-        held, spans, size, seq = [], [], 0, 0
+        held, spans, size, now, written = [], [], 0, None, {}
 
         def rows(last: bool) -> pa.RecordBatch:
-            nonlocal held, spans, size, seq
+            nonlocal held, spans, size
+            seq = written.get(now, 0)
             flat = np.concatenate(held) if held else np.empty(0, np.uint16)
             n = -(-size // sequence) if last else size // sequence
             body, rest = flat[: n * sequence], flat[n * sequence :]
@@ -117,45 +131,54 @@ def pack(docs: DataFrame, tokenizer: Tokenizer, sequence: int = SEQUENCE) -> Dat
             data = body.astype("<u2").tobytes()
             stride = 2 * sequence
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array([data[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())],
-                ["part", "seq", "n_tokens", "doc_ids", "starts", "ids"],
+                [pa.array([now] * n, pa.string()), pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(own, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array([data[i * stride : (i + 1) * stride] for i in range(n)], pa.binary())],
+                ["window", "part", "seq", "n_tokens", "doc_ids", "starts", "ids"],
             )
-            held, spans, size, seq = [rest], after, len(rest), seq + n
+            held, spans, size, written[now] = [rest], after, len(rest), seq + n
             return out
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, of in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if of != now:
+                    if size:
+                        yield rows(last=True)
+                    now = of
                 ids = np.array([*encode(text), end] if text else [end], np.uint16)
                 held.append(ids)
                 spans.append((doc, size, size + len(ids)))
                 size += len(ids)
                 if size > _CHUNK:
                     yield rows(last=False)
-        yield rows(last=True)
+        if size:
+            yield rows(last=True)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return map_batches(texts, run, "part int, seq long, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (F.lit("") if window is None else F.coalesce(window.cast("string"), F.lit(""))).alias("window"))
+    return map_batches(texts, run, "window string, part int, seq long, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
 
 
-def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int = 17, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int = 17, sequence: int = SEQUENCE, shard: int = SHARD, window: Column | None = None) -> DataFrame:
     """Write the shards; (slot, shard, offset, n_tokens, crc, doc_ids, starts) of each sequence.
 
     Files are ``<folder>/shard-<number>.bin``; a task writes under a name of its
-    own and then renames, so that a repeated task leaves the same file. The files
-    appear as the result is computed. Null and empty texts are one end id; rows
+    own and then renames, so that a repeated task leaves the same file. All files
+    are there when the call returns. ``window`` is a column whose values, in order,
+    have consecutive ranges of slots; sequences are permuted inside them. Null and empty texts are one end id; rows
     with a null doc_id are written like others; an empty table writes nothing.
     Packing follows the partitions of the input, and the same input is packed alike.
     """
-    packed = staged(pack(docs, tokenizer, sequence), "packed", level=6)
-    # one number for each input partition comes to the driver
-    counts = sorted((r["part"], r["n"]) for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    n = sum(c for _, c in counts)
-    bases, base = {}, 0
-    for part, c in counts:
-        bases[part], base = base, base + c
-    base_of = docs.sparkSession.sparkContext.broadcast(bases)
+    spark = docs.sparkSession
+    folder = qualified(spark, folder)
+    packed = staged(pack(docs, tokenizer, sequence, window), "packed", level=6)
+    # a number for each input partition, and for each part of a window in it, comes to the driver
+    counts = sorted((r["window"], r["part"], r["n"]) for r in packed.groupBy("window", "part").agg(F.count(F.lit(1)).alias("n")).collect())
+    bases, ranges, n = {}, {}, 0
+    for of, part, c in counts:
+        first, held = ranges.get(of, (n, 0))
+        bases[of, part], ranges[of] = held, (first, held + c)
+        n += c
+    place_of = spark.sparkContext.broadcast((bases, ranges))
     sample = b"".join(bytes(r["ids"]) for r in packed.select("ids").limit(DICTIONARY).collect())
-    words = docs.sparkSession.sparkContext.broadcast(sample)
+    words = spark.sparkContext.broadcast(sample)
 
     def dictionary():  # noqa: ANN202
         import zstandard
@@ -165,19 +188,23 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        bases, ranges = place_of.value
         squeeze = zstandard.ZstdCompressor(level=6, dict_data=dictionary()).compress
         for batch in slices(batches, 1024):
-            part, seq = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            index = np.array([base_of.value[p] for p in part.tolist()], np.int64) + seq
-            slots = permute(index, n, seed)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard).astype(np.int32)), *batch.columns[2:5], pa.array([squeeze(x.as_buffer()) for x in batch.column(5)], pa.binary())], ["slot", "shard", "n_tokens", "doc_ids", "starts", "ids"])
+            of, part, seq = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            index = np.array([bases[k] for k in zip(of, part)], np.int64) + seq
+            slots, names = np.empty(len(index), np.int64), np.array(of, object)
+            for name in set(of):
+                here, (first, held) = names == name, ranges[name]
+                slots[here] = first + permute(index[here], held, seed + zlib.crc32(name.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard).astype(np.int32)), *batch.columns[3:6], pa.array([squeeze(x.as_buffer()) for x in batch.column(6)], pa.binary())], ["slot", "shard", "n_tokens", "doc_ids", "starts", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyarrow import fs
 
         unpack = zstandard.ZstdDecompressor(dict_data=dictionary()).decompress
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         out, name, number, kept = None, "", -1, []
 
@@ -215,7 +242,7 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
 
     placed = map_batches(packed, place, "slot long, shard int, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
     dealt = placed.repartitionById(max(1, -(-n // shard)), F.col("shard")).sortWithinPartitions("slot")
-    return map_batches(dealt, write, "slot long, shard int, offset long, n_tokens int, crc long, doc_ids array<long>, starts array<int>")
+    return staged(map_batches(dealt, write, "slot long, shard int, offset long, n_tokens int, crc long, doc_ids array<long>, starts array<int>"), "index")
 
 
 def shard_folder(spark: SparkSession, name: str = "shards") -> str:

@@ -482,3 +482,58 @@ def test_hash_table():
 def test_adaptive(spark):
     got = {r["doc_id"]: r["score"] for r in ppm.adaptive(spark.createDataFrame([(1, "abababababababab"), (2, "qwertzuiopasdfgh"), (3, None)], "doc_id long, text string")).collect()}
     assert got[1] > got[2] and got[3] < 0
+
+
+def test_windows_have_consecutive_slots(spark, docs, texts, tmp_path):
+    """Slots follow the windows in order, and are permuted inside them."""
+    tokenizer, folder = shards.Tokenizer(vocabulary("byte_bpe_multi_50k.tiktoken")), f"{tmp_path}/shards"
+    window = F.format_string("w%02d", F.col("doc_id") % 7)
+    out = sorted(shards.write_shards(docs.repartition(3, "doc_id").sortWithinPartitions(window), tokenizer, folder, sequence=64, shard=50, window=window).collect())
+    of = [{d % 7 for d in r["doc_ids"]} for r in out]
+    assert [r["slot"] for r in out] == list(range(len(out))) and all(len(x) == 1 for x in of)
+    order = [x.pop() for x in of]
+    assert order == sorted(order) and len(set(order)) == 7
+    first = [r["doc_ids"][0] for r, w in zip(out, order) if w == 0]
+    assert first != sorted(first)
+    assert len(list(shards.read_slots(folder, 0, len(out), 64, 50))) == len(out)
+
+
+@pytest.mark.parametrize("same_text", [False, True])
+def test_no_copy_is_lost_where_rows_share_an_id(spark, same_text):
+    rows = [(i // 3 if i % 2 else None, "one two three four" if same_text else f"text {i} of many words " * (1 + i % 4), f"s{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan(df)
+    want = {(r[0], r[1]): r[2] for r in plan.groupBy("doc_id", "text_hash").agg(F.sum("copies")).collect() if r[2]}
+    got = mixing.mixed(df, partitions=3).groupBy("doc_id", F.xxhash64("text")).count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == want
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, words), (1, other), (2, words), (3, other + " more"), (1, words), (4, "alone in the world of texts"), (None, words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.length("text"))
+    assert sorted((r[0], r[1]) for r in simhash.representatives(df).where("doc_id is not null").collect()) == sorted([(1, words), (1, other), (4, rows[5][1])])
+    bench = spark.createDataFrame([(9, words)], "item_id long, text string")
+    assert sorted((r[0], r[1]) for r in decontam.keep_clean(df, bench).where("doc_id is not null").collect()) == sorted([(1, other), (3, rows[3][1]), (4, rows[5][1])])
+
+
+@pytest.mark.parametrize(("text", "found"), [("Yes, he said so, and yes again.", False), ("Yes!", True), ("yes", True), ("Yes no", False)])
+def test_an_item_of_one_word_must_be_all_of_a_text(spark, text, found):
+    got = decontam.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, "Yes")], "item_id long, text string")).collect()
+    assert bool(got) == found
+
+
+def test_slots_are_compared_over_the_whole_item(spark):
+    item = "and when Tom came then Tom saw that Tom was out so Tom left and after this Tom sat while Tom thought that Tom was not so well"
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    halves = item.split(" and after ")
+    texts = [f"{halves[0].replace('Tom', a)} and very soon after {halves[1].replace('Tom', b)}" for a, b in (("Ann", "Bob"), ("Ann", "Ann"))]
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    assert [r["doc_id"] for r in got] == [1] and not got[0]["verbatim"]
+
+
+def test_nouns_of_german_texts_are_no_names(spark):
+    got = spark.createDataFrame([("Und dann sah der Hund die Katze mit dem Ball im Garten und der Mann rief.",), ("And then Tom saw the cat of Ann in the garden.",)], "t string").select(decontam.template_words(F.col("t"))).collect()
+    assert "hund" in got[0][0] and decontam.NAME not in got[0][0]
+    assert got[1][0].count(decontam.NAME) == 2

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from palimpsest.llm import decontam, quality
+from palimpsest.llm import decontam, mixing, quality
 from tests.llm.test_jaccard import classes
 
 
@@ -25,6 +25,11 @@ def test_stages_take_effect_one_by_one(spark, tmp_path):
     assert after.count() > before.count() and ids(after) <= ids(before)
     before, after = seen["token output"]
     assert {d for r in after.select("doc_ids").collect() for d in r[0]} == ids(before)
+    # slots follow the ranges of reading time that the mix wrote
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    times = {r["doc_id"]: min(int(r["positions"][0] * n), n - 1) for r in mixing.plan(seen["mixing"][0]).where("copies = 1").collect()}
+    order = [times[d] for r in after.orderBy("slot").select("doc_ids").collect() for d in r[0] if d in times]
+    assert order == sorted(order) and len(set(order)) > 1
 
 
 def test_run(spark):
