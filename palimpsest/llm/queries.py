@@ -122,6 +122,7 @@ FROM page p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN pa
 """
 
 _M = rules.MEASURES
+_CUT = f"greatest(length(bin(v)) - {rules.SKETCH_BITS}, 0)"
 OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
 g AS (SELECT rid, i, w[i:i + 4] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
@@ -129,21 +130,22 @@ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gr
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
 c AS (SELECT d.*, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-  coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^!?;:{{}}\[\]\\^~=_+@]+', '', 'g')) AS punct, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS caps
+  coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^!-@\[-`{{-~]+', '', 'g')) AS others, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS capitals,
+  len(list_filter(w, lambda x: length(x) = 1)) AS singles, len(list_distinct(w)) AS distinct_words
   FROM d LEFT JOIN rep USING (rid)),
 f AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-m AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words END AS symbols_per_mille, CASE WHEN n_words > 0 THEN 1000 * n_dup_lines // greatest(len(lines), 1) END AS duplicate_lines_per_mille,
-  CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeats_per_mille, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS word_centichars,
-  CASE WHEN n_words > 0 THEN 1000 * punct // n_words END AS punct_per_mille, CASE WHEN n_words > 0 THEN 1000 * caps // word_chars END AS caps_per_mille FROM f),
+m AS (SELECT *, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS word_centichars, CASE WHEN n_words > 0 THEN 1000 * others // word_chars END AS other_per_mille,
+  CASE WHEN n_words > 0 THEN 1000 * capitals // word_chars END AS capitals_per_mille, CASE WHEN n_words > 0 THEN 1000 * singles // n_words END AS singles_per_mille,
+  CASE WHEN n_words > 0 THEN 1000 * distinct_words // n_words END AS distinct_per_mille FROM f),
 s AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, CAST({k} AS BIGINT) AS v FROM m WHERE NOT base_failed" for k in _M)}),
-h AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS v FROM s WHERE v IS NOT NULL),
+h AS (SELECT lang, source, measure, (v >> {_CUT}) << {_CUT} AS v FROM s WHERE v IS NOT NULL),
 l AS (SELECT 0 AS level, lang, source, measure, v FROM h UNION ALL SELECT 1, lang, NULL, measure, v FROM h UNION ALL SELECT 2, NULL, NULL, measure, v FROM h),
 q AS (SELECT level, lang, source, measure, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, count(*) AS n FROM l GROUP BY ALL),
-t AS (SELECT level, lang, source, measure, n, q3 + {rules.SPREADS} * greatest(q3 - q1, CASE measure {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _M.items())} END) AS top FROM q),
-lim AS (SELECT m.rid, t.measure, arg_min(t.top, t.level) AS top FROM m JOIN t ON
-  (t.level = 2 OR (t.level = 1 AND t.n >= {rules.GROUP_ROWS} AND t.lang IS NOT DISTINCT FROM m.lang) OR (t.level = 0 AND t.n >= {rules.GROUP_ROWS} AND t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source))
+lim AS (SELECT m.rid, q.measure, arg_min(q1, q.level) AS q1, arg_min(q3, q.level) AS q3, arg_min(greatest(q3 - q1, CASE q.measure {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _M.items())} END), q.level) AS spread FROM m JOIN q ON
+  (q.level = 2 OR (q.level = 1 AND q.n >= {rules.GROUP_ROWS} AND q.lang IS NOT DISTINCT FROM m.lang) OR (q.level = 0 AND q.n >= {rules.GROUP_ROWS} AND q.lang IS NOT DISTINCT FROM m.lang AND q.source IS NOT DISTINCT FROM m.source))
   GROUP BY ALL),
-over AS (SELECT DISTINCT m.rid FROM m JOIN lim USING (rid) WHERE CASE lim.measure {' '.join(f"WHEN '{k}' THEN m.{k}" for k in _M)} END > lim.top)
+v AS (SELECT m.rid, m.n_words, lim.*, CASE lim.measure {' '.join(f"WHEN '{k}' THEN m.{k}" for k in _M)} END AS v FROM m JOIN lim USING (rid)),
+over AS (SELECT DISTINCT rid FROM v WHERE greatest(v - q3, q1 - v) * n_words > spread * {rules.SPREADS} * (n_words + {rules.SHORT_WORDS}))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND over.rid IS NULL AS kept
 FROM m LEFT JOIN over USING (rid)

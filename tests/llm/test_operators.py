@@ -263,22 +263,43 @@ def test_repeated_words(spark):
 def test_sketches_merge_and_bound_quantiles(spark):
     rng = np.random.default_rng(0)
     values = (rng.lognormal(5, 1, 4000)).astype(int).tolist()
-    base = {m: 0 for m in rules.MEASURES}
+    base = dict.fromkeys(rules.MEASURES, 0)
     df = spark.createDataFrame([("en", "ab"[i % 2], False, v) for i, v in enumerate(values)], "lang string, source string, base_failed boolean, word_centichars long")
     df = df.select("*", *(F.lit(0).alias(m) for m in base if m != "word_centichars"))
     whole = rules.sketch(df)
     halves = rules.sketch(df.where("source = 'a'")).union(rules.sketch(df.where("source = 'b'")))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, halves.collect()))
-    limits = rules.thresholds(whole, spreads=0).where("measure = 'word_centichars' and level = 2").first()
-    exact = np.quantile(values, 0.75, method="inverted_cdf")
-    assert exact * 31 / 32 <= limits["limit"] <= exact
+    found = rules.thresholds(whole).where("measure = 'word_centichars' and level = 2").first()
+    for name, q in (("q1", 0.25), ("q3", 0.75)):
+        exact = np.quantile(values, q, method="inverted_cdf")
+        assert exact * 127 / 128 <= found[name] <= exact
+
+
+def test_limits_come_from_the_groups(spark):
+    """Nearly all limits have a spread of their own, and they differ between groups."""
+    rows = rules.thresholds(rules.sketch(rules.measure(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))).collect()
+    assert sum(r["q3"] - r["q1"] < r["spread"] for r in rows) < 0.1 * len(rows)
+    for m in rules.MEASURES:
+        assert len({(r["q1"], r["q3"]) for r in rows if r["measure"] == m and r["level"] == 0}) > 5
 
 
 def test_junk_goes_and_good_text_stays(spark):
     got = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     good = [r["kept"] for r in got if r["quality"] == 1 and r["n_words"] >= 10]
     bad = [r["kept"] for r in got if r["quality"] == 0]
-    assert np.mean(good) > 0.97 and np.mean(bad) < 0.3
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+
+
+def test_a_group_of_copies_does_not_narrow_the_limits(spark):
+    """Half of a group is one text: the others still stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").where("kept").select("doc_id")
+    kept = docs.join(own, "doc_id").where("lang = 'en'").withColumn("source", F.lit("s"))
+    text = kept.select("text").first()[0]
+    copies = spark.range(10_000, 10_000 + 2 * kept.count()).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    out = rules.apply_rules(kept.unionByName(docs.where("lang <> 'en'")).select(docs.columns).unionByName(copies))
+    got = out.join(kept.select("doc_id"), "doc_id").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert got > 0.97
 
 
 # op7
