@@ -102,23 +102,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM m GROUP BY conv_id
 """
 
-OP5_SQL = """
+_HOST = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_NODE = f"CASE WHEN contains({{0}}, '://') THEN '://' || regexp_replace({_HOST}, ':(?:80|443)$', '') || {_PATH} || CASE regexp_extract({{0}}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1) WHEN '' THEN '' ELSE '?' || regexp_extract({{0}}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1) END END"
+_QUERY = f"array_to_string(list_filter(string_split(regexp_extract({{0}}, '(?s)\\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '{urls.TRACKING}')), '&')"
+_PLAIN = f"'://' || regexp_replace({_HOST}, '^(?:www|m)\\.([^.]+\\..+)$', '\\1') || regexp_replace({_PATH}, '/+$', '') || CASE {_QUERY} WHEN '' THEN '' ELSE '?' || {_QUERY} END"
+_ORIGIN = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
+# links that hold the steps . and .. are taken as they are here
+OP5_SQL = f"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
-page AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM page WHERE url IS NOT NULL),
-link AS (SELECT url AS src, CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)
-  WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1) END AS dst FROM tag),
-edge AS (SELECT src, dst FROM link WHERE dst LIKE '%://%' UNION SELECT dst, src FROM link WHERE dst LIKE '%://%'),
+page AS (SELECT page_id, url, html, {_HOST.format("coalesce(url, '')")} AS host, {_PATH.format("coalesce(url, '')")} AS path, {_NODE.format('url')} AS node FROM pages),
+tag AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '{urls.HIDDEN}', ' ', 'g'), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM page WHERE url IS NOT NULL),
+target AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)
+  WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1) END, '&amp;', '&') AS link FROM tag),
+found AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+  WHEN link = '' OR starts_with(link, '#') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(link, '/') THEN {_ORIGIN} || link WHEN starts_with(link, '?') THEN {_ORIGIN} || {_PATH.format('url')} || link
+  ELSE {_ORIGIN} || CASE regexp_replace({_PATH.format('url')}, '[^/]*$', '') WHEN '' THEN '/' ELSE regexp_replace({_PATH.format('url')}, '[^/]*$', '') END || link END AS dst FROM target),
+redirect AS (SELECT {_NODE.format('url')} AS src, {_NODE.format('dst')} AS dst FROM found),
+named AS (SELECT node FROM page UNION SELECT src FROM redirect UNION SELECT dst FROM redirect),
+pair AS (SELECT src, dst FROM redirect UNION SELECT node, {_PLAIN.format('node')} FROM named),
+edge AS (SELECT src, dst FROM pair WHERE src <> dst UNION SELECT dst, src FROM pair WHERE src <> dst),
 reach(a, b) AS (SELECT src, src FROM edge UNION SELECT r.a, e.dst FROM reach r JOIN edge e ON r.b = e.src),
-node AS (SELECT url, host, path FROM page UNION SELECT src, translate(regexp_extract(src, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regexp_extract(src, '(?s)^.*?://[^/?#]*([^?#]*)', 1) FROM edge),
+place AS (SELECT node, {_HOST.format('node')} AS host, {_PATH.format('node')} AS path FROM (SELECT src AS node FROM edge)),
 fit AS (SELECT n.host, n.path, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY n.host, n.path ORDER BY length(r.host || r.path) DESC, r.host || r.path, r.verdict) AS nth
-  FROM (SELECT DISTINCT host, path FROM node) n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)),
+  FROM (SELECT host, path FROM page UNION SELECT host, path FROM place) n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)),
 best AS (SELECT host, path, rule, verdict FROM fit WHERE nth = 1),
-passed AS (SELECT r.a AS url, CASE WHEN bool_or(b.verdict = 'allow') THEN 'allow' WHEN bool_or(b.verdict = 'block') THEN 'block' END AS verdict
-  FROM reach r JOIN node n ON n.url = r.b JOIN best b ON b.host = n.host AND b.path = n.path GROUP BY r.a)
+passed AS (SELECT r.a AS node, CASE WHEN bool_or(b.verdict = 'allow') THEN 'allow' WHEN bool_or(b.verdict = 'block') THEN 'block' END AS verdict
+  FROM reach r JOIN place n ON n.node = r.b JOIN best b ON b.host = n.host AND b.path = n.path GROUP BY r.a)
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, q.verdict, 'allow') AS verdict
-FROM page p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN passed q ON q.url = p.url
+FROM page p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN passed q ON q.node = p.node
 """
 
 _M = rules.MEASURES

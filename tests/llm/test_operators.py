@@ -233,6 +233,38 @@ def test_block_decisions_follow_links(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("com/fr/", "allow"), 6: (None, "block")}
 
 
+@pytest.mark.parametrize(
+    ("base", "link", "want"),
+    [
+        ("https://a.b/x/y.html?q", "/z", "https://a.b/z"),
+        ("https://a.b/x/y.html?q", "z?r", "https://a.b/x/z?r"),
+        ("https://a.b", "z", "https://a.b/z"),
+        ("https://a.b/x/y", "//c.d/e", "https://c.d/e"),
+        ("https://a.b/x/y", "?p=2", "https://a.b/x/y?p=2"),
+        ("https://a.b/x/y/z", "../../w/./v", "https://a.b/w/v"),
+        ("https://a.b/x", "../../../w", "https://a.b/w"),
+        ("https://a.b/x", "#top", None),
+        ("https://a.b/x", "mailto:z@a.b", None),
+        ("https://a.b/x", "HTTP://c.d/E", "HTTP://c.d/E"),
+    ],
+)
+def test_links_resolve_against_their_page(spark, base, link, want):
+    assert spark.createDataFrame([(base, link)], "b string, l string").select(urls.resolve(F.col("b"), F.col("l"))).first()[0] == want
+
+
+def test_aliases_share_a_verdict(spark):
+    html = lambda tag: f"<html><!-- <link rel='canonical' href='http://q.com/de/no'> --><script>var s = \"<link rel='canonical' href='http://q.com/de/no'>\"</script>{tag}</html>"
+    pages = [
+        (1, "http://a.net/x/1", html("<link rel='canonical' href='/moved?a=1&amp;b=2'>")),
+        (2, "HTTPS://A.net:443/moved?a=1&b=2#part", html("<meta http-equiv='refresh' content='0; url=http://bad.org/es/1'>")),
+        (3, "http://www.a.net/x/1/?utm_source=feed", None),
+        (4, "http://other.net/x", html("")),
+    ]
+    rules_ = urls.rule_table(spark, [("block", "bad.org", "/es/"), ("block", "com", "/de/")])
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules_).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_many_rules_join_by_host(spark, monkeypatch):
     urls_ = spark.createDataFrame([("a.b.example.org", "/es/1"), ("example.org", "/x"), ("xexample.org", "/es/1"), ("org", "")], "host string, path string")
     rules_ = urls.rule_table(spark, [("block", "example.org", "/es/"), ("allow", "org", "/"), ("block", "b.example.org", "/es/"), ("allow", "b.example.org", "/es/")])
