@@ -41,7 +41,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.format_conversations(messages)
     turns = chat.read_turns(F.col("formatted"))
     loss = chat.read_loss_text(F.col("formatted"), F.col("loss_mask"))
-    read_back = out.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"))
+    read_back = out.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss"), "attachments", "expanded_tokens")
     return read_back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -49,6 +49,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -98,7 +100,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len(chat.START + chat.SEP + chat.END)}) AS BIGINT) AS formatted_chars
+  CAST(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len(chat.START + chat.SEP + chat.END)}) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM m GROUP BY conv_id
 """
 

@@ -210,7 +210,14 @@ def test_parts(spark):
     assert [(a["turn"], a["type"], a["ref"], a["n_tokens"]) for a in r["attachments"]] == [(0, "image", "s3://a.png", 576), (0, "audio", "b.wav", 100), (0, "document", "c.pdf", None), (1, "image", "d.png", 4)]
     assert r["expanded_tokens"] == 680
     (span,) = r["loss_mask"]
-    assert r["formatted"][span["start"] : span["start"] + span["length"]] == "ok é<|image|>"
+    assert r["formatted"][span["start"] : span["start"] + span["length"]] == "ok é"
+
+
+def test_turns_of_one_place_sort_by_their_text(spark):
+    """By the text as it came: the escapes would sort otherwise."""
+    df = spark.createDataFrame([(1, 0, "assistant", t) for t in ("<a", "0b", "[c", "&")], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(df.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).select(chat.read_turns(F.col("formatted")), chat.read_loss_text(F.col("formatted"), F.col("loss_mask"))).first()
+    assert [t["content"] for t in r[0]] == sorted(["<a", "0b", "[c", "&"]) and r[1] == "&0b<a[c"
 
 
 # op5
