@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import cache
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +43,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table with a reliable, eager checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, so that executors do not take it for a local one."""
     jvm = spark.sparkContext._jvm
@@ -74,19 +69,44 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         return
 
 
-def staged(df: DataFrame, what: str, level: int = 3) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go at the end, but those to be kept; what is returned must not read the others."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove_quietly(spark, path)
+
+
+def staged(df: DataFrame, what: str, level: int = 3, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Columnar and compressed, so cheaper than a checkpoint for wide tables. The
-    files go when the application ends.
+    files go when the application ends, or with the ``scratch`` around the call.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     remove_at_exit(spark, path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a narrow table: written out and read back.
+
+    A checkpoint would keep the size that the planner made up for its plan; joins
+    multiply these, and over some rounds the numbers grow beyond all bounds.
+    """
+    return staged(df, "cut", level=1)
+
+
 #: Keys (an id and a hash) up to so many are broadcast to leave rows out; more meet them in a shuffle.
 BROADCAST_KEYS = 500_000
 

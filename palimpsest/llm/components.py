@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, scratch, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -20,21 +20,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     nulls add nothing. Ids may be of any ordered type. An empty table gives an
     empty result.
     """
-    now = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
-        .where("ok and u <> v")
-        .select("u", "v")
-        .distinct()
-    )
+    with scratch(edges.sparkSession):
+        return staged(_components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")), max_rounds), "components", keep=True)
+
+
+def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(now)
     for _ in range(max_rounds if state[0] else 0):
         # large star: hang every larger neighbour of u on the least node near u
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         # (written out first, so that the join deals both sides anew and may split the rows of a hub)
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: hang the smaller neighbours of u, and u, on the least of them
-        large = cut(large)
         root = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(root.select("u", F.col("m").alias("v"))).distinct())

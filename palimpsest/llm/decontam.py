@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import let, staged, without_keys
+from palimpsest.llm.common import let, scratch, staged, without_keys
 
 #: Words in a window, and the part of an item's words that must be found.
 WINDOW, COVERED = 5, 0.6
@@ -191,6 +191,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, covered: float) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, verbatim) for each text and item."""
+    with scratch(docs.sparkSession):
+        return staged(_coverage(docs, benchmark, window, covered), "found", keep=True)
+
+
+def _coverage(docs: DataFrame, benchmark: DataFrame, window: int, covered: float) -> DataFrame:
     items = staged(item_windows(benchmark, window), "item-windows")
     pair = ["doc_id", "text_hash", "item_id", "item", "n"]
     # a stretch holds at most one window for each word of its item, twice if also word for word

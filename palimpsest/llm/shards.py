@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import qualified, shared_dir, slices, staged
+from palimpsest.llm.common import qualified, scratch, shared_dir, slices, staged
 from palimpsest.workers import map_batches
 
 #: Ids in a sequence, sequences in a shard, rounds of the permutation.
@@ -166,8 +166,12 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
     with a null doc_id are written like others; an empty table writes nothing.
     Packing follows the partitions of the input, and the same input is packed alike.
     """
+    with scratch(docs.sparkSession):
+        return staged(_write(docs, tokenizer, qualified(docs.sparkSession, folder), seed, sequence, shard, window), "index", keep=True)
+
+
+def _write(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int, sequence: int, shard: int, window: Column | None) -> DataFrame:
     spark = docs.sparkSession
-    folder = qualified(spark, folder)
     packed = staged(pack(docs, tokenizer, sequence, window), "packed", level=6)
     # a number for each input partition, and for each part of a window in it, comes to the driver
     counts = sorted((r["window"], r["part"], r["n"]) for r in packed.groupBy("window", "part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -242,7 +246,7 @@ def write_shards(docs: DataFrame, tokenizer: Tokenizer, folder: str, seed: int =
 
     placed = map_batches(packed, place, "slot long, shard int, n_tokens int, doc_ids array<long>, starts array<int>, ids binary")
     dealt = placed.repartitionById(max(1, -(-n // shard)), F.col("shard")).sortWithinPartitions("slot")
-    return staged(map_batches(dealt, write, "slot long, shard int, offset long, n_tokens int, crc long, doc_ids array<long>, starts array<int>"), "index")
+    return map_batches(dealt, write, "slot long, shard int, offset long, n_tokens int, crc long, doc_ids array<long>, starts array<int>")
 
 
 def shard_folder(spark: SparkSession, name: str = "shards") -> str:

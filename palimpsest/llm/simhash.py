@@ -58,7 +58,7 @@ def budget(depth: int, bits: int) -> int:
     return bits // TRIES if depth <= LEADING else bits
 
 
-def _turned(fp: Column, by: int) -> Column:
+def turned(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
@@ -84,7 +84,7 @@ def cells(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) -> DataF
     """(trie, depth, lo, x, turned): the rows of every cell of the join."""
     n = fps.count()
     depth = min(LEADING, max(LEAST_DEPTH, (n // NODE_ROWS).bit_length()))
-    turns = F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), _turned(F.col("fp"), LEADING * t).alias("turned")) for t in range(TRIES))))
+    turns = F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), turned(F.col("fp"), LEADING * t).alias("turned")) for t in range(TRIES))))
     rows = _deeper(fps.select(turns.alias("r")).select("r.trie", "r.turned", F.lit(0).cast("long").alias("x")), 0, depth, bits)
     by, fit = ["trie", "lo", "x"], []
     while True:
@@ -99,11 +99,14 @@ def cells(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) -> DataF
         depth += STEP
 
 
-def join_cells(rows: np.ndarray, bits: int) -> tuple[np.ndarray, TrieJoin]:
-    """Join rows (trie, depth, lo, x, turned), sorted by all; (2, n) turned fingerprints tied, by rows, and the join."""
+def join_cells(rows: np.ndarray, bits: int, nearest: bool = False) -> tuple[np.ndarray, TrieJoin]:
+    """Join rows (trie, depth, lo, x, turned), sorted by all; the pairs of rows tied, as (2, n), and the join.
+
+    The pairs are stars, or with ``nearest`` the nearest pairs that tie as much.
+    """
     trie, depth, lo, x, turned = rows
     u = turned.view(np.uint64)
-    join = TrieJoin(u, bits)
+    join, found = TrieJoin(u, bits), [np.empty((2, 0), np.int64)]
     new = np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)] if len(u) else np.empty(0, bool)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(u)] if len(first) else first
@@ -118,16 +121,22 @@ def join_cells(rows: np.ndarray, bits: int) -> tuple[np.ndarray, TrieJoin]:
         pairs = np.stack([a0, np.where(alone, a1, am), np.where(alone, a0, am), a1, np.bitwise_count(x[a0]).astype(np.int64)])
         pairs = pairs[:, (pairs[0] < pairs[1]) & (pairs[2] < pairs[3])]
         for i, j in join.walk(d, pairs, lambda k: budget(k, bits)):
-            join.tie(i, j)
+            if nearest:
+                found.append(np.stack(join.nearest(i, j)))
+            else:
+                join.tie(i, j)
+    if nearest:
+        return np.concatenate(found, axis=1), join
     tied = np.flatnonzero(join.label != np.arange(len(u)))
     return np.stack([tied, join.label[tied]]), join
 
 
-def near_edges(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_edges(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS, nearest: bool = False) -> DataFrame:
     """Edges (a, b) that tie together all distinct fingerprints within ``bits``.
 
     ``fps`` holds distinct signed fingerprints in column fp. Each cell returns a
-    star for each of its linked sets, not all pairs: no connection is lost.
+    star for each of its linked sets, or with ``nearest`` the nearest pairs that tie
+    the set, not all pairs: no connection is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +155,7 @@ def near_edges(fps: DataFrame, bits: int = BITS, cell_rows: int = CELL_ROWS) ->
             yield edges_of(np.concatenate(kept, axis=1))
 
     def edges_of(rows: np.ndarray) -> pa.RecordBatch:
-        (i, j), _ = join_cells(rows, bits)
+        (i, j), _ = join_cells(rows, bits, nearest)
         back = (LEADING * rows[0][i]).astype(np.uint64)
         a, b = (_back(rows[4][k].view(np.uint64), back).view(np.int64) for k in (i, j))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -168,13 +177,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     """
     prints = staged(fingerprints(docs, shingle), "fingerprints")
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    classes = named(first, near_edges(first.select("fp"), bits), "fp")
+    classes = named(first, connected_components(near_edges(first.select("fp"), bits)), "fp")
     return prints.join(classes.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def named(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """(node, root, component_id) of all ``nodes`` (node, least_id): classes over ``edges`` (a, b) and their least ids."""
-    labels = connected_components(edges).withColumnRenamed("node", node)
+def named(nodes: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """(node, root, component_id) of all ``nodes`` (node, least_id), given the components (node, component) of those with links."""
+    labels = labels.withColumnRenamed("node", node)
     tied = cut(nodes.join(labels, node, "left").select(node, "least_id", F.coalesce("component", node).alias("root")))
     # written out, so that the join below deals both sides anew and may split a large class
     least = cut(tied.groupBy("root").agg(F.min("least_id").alias("component_id")))
@@ -192,8 +201,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     from palimpsest.llm import jaccard
 
-    rows = jaccard.near_duplicates(docs).select("doc_id", "text_hash", "root", "component_id")
-    rows = staged(rows.where("doc_id is not null"), "classes")
+    rows = jaccard.near_duplicates(docs)
     # several texts under the id of their class: the least hash stands for them
     stands = rows.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("n"))
     shared = cut(stands.where("n > 1"))

@@ -72,6 +72,19 @@ class TrieJoin:
         self.label = unite(self.label, i, j)
         self._settle()
 
+    def nearest(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of row pairs, the nearest ones that tie different labels together; they are tied."""
+        order = np.argsort(np.bitwise_count(self.u[i] ^ self.u[j]), kind="stable")
+        i, j, found = i[order], j[order], []
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            i, j, a, b = (x[a != b] for x in (i, j, a, b))
+            # the nearest pair of every label
+            best = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+            found.append((i[best], j[best]))
+            self.tie(i[best], j[best])
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (i, j)
+
     def walk(self, depth: int, pairs: np.ndarray, budget: Callable[[int], int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The row pairs (i, j) within the budget, below node pairs of one depth.
 

@@ -84,3 +84,16 @@ def test_components_of_the_query_are_those_of_all_pairs(spark):
     want = components(links, ids)
     got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in QUERIES["op9_simhash"](spark, sf).collect()}
     assert got == {d: (fp[d], want[d]) for d in ids}
+
+
+def test_components_of_a_long_chain(spark):
+    """Many rounds, one after the other: plans must not grow from round to round."""
+    from palimpsest.llm.components import connected_components
+
+    rng, ids = random.Random(1), list(range(3000))
+    rng.shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    for _ in range(2):
+        got = connected_components(edges)
+        assert got.agg(F.max("component"), F.count("*")).first()[:] == (0, 3000)
+        edges = edges.union(got.select(F.col("node").alias("a"), F.col("component").alias("b")))
