@@ -78,7 +78,7 @@ def chunks(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
 
 
 def assemble(parts: DataFrame, key: str) -> DataFrame:
-    """(key, value): chunks put together in order. One value is one group."""
+    """(key, value), and uts where the chunks have it (the greatest): chunks put together in order. One value is one group."""
     ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "chunk")))
     joined = F.aggregate(ordered, F.lit(b""), lambda out, c: F.concat(out, c["chunk"]))
-    return parts.groupBy(key).agg(joined.alias("value"))
+    return parts.groupBy(key).agg(joined.alias("value"), *([F.max("uts").alias("uts")] if "uts" in parts.columns else []))

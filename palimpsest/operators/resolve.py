@@ -61,6 +61,17 @@ def visible(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str],
     return out if tombstones else out.where(F.col("op") != TOMBSTONE)
 
 
+def read(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str], version: int, timestamped: bool = False, tombstones: bool = False) -> DataFrame:
+    """As ``visible``, with counters as a read gives them: op COUNTER_SET and the whole count in n."""
+    seen = lineage(log, versions, version)
+    by = ["qv", *keys]
+    out = newest(seen, by, timestamped)
+    counted = count(seen, by).where(F.col("op") == COUNTER_SET).select(*by, F.col("n").alias("__n"))
+    is_counter = F.col("op").isin(COUNTER_SET, COUNTER_ADD)
+    out = out.join(counted, by, "left").withColumn("n", F.when(is_counter, F.col("__n")).otherwise(F.col("n"))).withColumn("op", F.when(is_counter, COUNTER_SET).otherwise(F.col("op"))).select(out.columns)
+    return out if tombstones else out.where(F.col("op") != TOMBSTONE)
+
+
 def latest(log: DataFrame, keys: list[str], timestamped: bool = False, tombstones: bool = False) -> DataFrame:
     """The winning row of each key where all rows belong to one lineage."""
     out = newest(log, keys, timestamped)
@@ -77,7 +88,7 @@ def fold_pieces(rows: DataFrame, by: list[str], pieces: int = PIECES, log: DataF
     """
     if pieces > 1:
         ends = (rows if log is None else log).agg(F.min("seq").alias("__lo"), F.max("seq").alias("__hi"))
-        piece = F.floor((F.col("seq") - F.col("__lo")) * pieces / (F.col("__hi") - F.col("__lo") + 1))
+        piece = F.expr(f"(seq - __lo) div ((__hi - __lo) div {pieces} + 1)")  # divides first, so that no span overflows
         rows = rows.join(F.broadcast(ends)).withColumn("piece", piece).drop("__lo", "__hi")
     else:
         rows = rows.withColumn("piece", F.lit(0).cast("long"))

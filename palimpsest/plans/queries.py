@@ -299,6 +299,28 @@ def counter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.scan_counters(log(spark, sf_dir, counters=True), tree(), 8, KEYS, [1, None], [30, 2]).select(*KEYS, "op", "n")
 
 
+@query(_count_sql("(SELECT *, 1 AS qv FROM log)", _COUNTED))
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store with values, tombstones and counters in three arrays over a snapshot, read by a scan."""
+    import uuid
+
+    from palimpsest.store import Store
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
+    store = Store(spark, f"{shared.rstrip('/')}/palimpsest-store-{uuid.uuid4().hex}")
+    _, root = store.create_vertree(timestamped=False)
+    store.attach("events", root)
+    dims = F.array(*(F.col(k).cast("string").cast("binary") for k in KEYS))
+    rows = log(spark, sf_dir, counters=True).select(dims.alias("dims"), "op", "n", "seq", "data_age")
+    for part in ("data_age < 3", "data_age between 3 and 5", "data_age > 5"):
+        store.write("events", rows.where(part), order="seq")
+        if part == "data_age < 3":
+            store.snapshot("events")
+    out = store.scan("events", [None, None], [None, None])
+    d = lambda i: F.col("dims")[i].cast("string").cast("long")
+    return out.select(d(0).alias("d0"), d(1).alias("d1"), "op", "n")
+
+
 # timestamps
 
 

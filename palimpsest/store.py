@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import key_bytes, order_key, validate
 from palimpsest.operators import compaction, reads, resolve, stats
-from palimpsest.schema import COUNTER_ADD, COUNTER_SET, LOG, OPS, TOMBSTONE, VALUE, StoreError
+from palimpsest.schema import COUNTER_ADD, COUNTER_SET, LOG, MAX_INLINE_BYTES, OPS, TOMBSTONE, VALUE, StoreError
 from palimpsest.versions import Version, VersionTree
 
 #: Catalogues kept, the newest included.
@@ -265,8 +265,11 @@ class Store:
         return self.write(name, rows.withColumn("op", F.lit(COUNTER_ADD if add else COUNTER_SET)), order)
 
     def put_chunks(self, name: str, parts: DataFrame) -> int:
-        """Large values from rows (dims, chunk_no, chunk)."""
-        return self.put(name, reads.assemble(parts.withColumnRenamed("dims", "k"), "k").withColumnRenamed("k", "dims"))
+        """Large values from rows (dims, chunk_no, chunk) and perhaps uts; values that fit inline are refused."""
+        whole = reads.assemble(parts.withColumnRenamed("dims", "k"), "k").withColumnRenamed("k", "dims")
+        if not whole.where(F.length("value") <= MAX_INLINE_BYTES).limit(1).isEmpty():
+            raise StoreError("EINVAL", f"a value of at most {MAX_INLINE_BYTES} bytes is no large one")
+        return self.put(name, whole)
 
     def stream_in(self, name: str, batches: DataFrame, column: str = "content", abort: bool = False) -> int:
         """Load batches of packed records as one array; all or nothing, 0 if aborted or empty."""
@@ -293,11 +296,11 @@ class Store:
     def get(self, name: str, dims: list[bytes], tombstones: bool = False) -> DataFrame:
         _, c, log, versions, timestamped = self._view(name, "gets")
         key = F.array(*(F.lit(bytearray(d)) for d in dims))
-        return resolve.visible(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones)
+        return resolve.read(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones)
 
     def multi_get(self, name: str, wanted: DataFrame) -> DataFrame:
         _, c, log, versions, timestamped = self._view(name, "gets")
-        return reads.multi_get(log, versions, c["version"], wanted, ["dims"], timestamped)
+        return resolve.read(log.join(wanted.select("dims").distinct(), "dims", "left_semi"), versions, ["dims"], c["version"], timestamped)
 
     def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True) -> DataFrame:
         """Visible entries inside an inclusive box over keys of that many dimensions, in key order."""
@@ -308,7 +311,7 @@ class Store:
             d = F.col("dims")[i]
             log = log.where(d >= F.lit(bytearray(lo))) if lo is not None else log
             log = log.where(d <= F.lit(bytearray(hi))) if hi is not None else log
-        out = resolve.visible(log, versions, ["dims"], c["version"], timestamped, tombstones).orderBy(order_key(F.col("dims")))
+        out = resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones).orderBy(order_key(F.col("dims")))
         return out if values else out.select("dims")
 
     def read_counters(self, name: str) -> DataFrame:

@@ -72,9 +72,18 @@ class VersionTree:
         """Without any child, so that it can be written."""
         return not any(x.parent == v for x in self.versions.values())
 
+    def leaves(self) -> set[int]:
+        """The versions below which all, if anything, is deleted; one pass from the deepest up."""
+        order = sorted((o, v) for v, (o, _) in self.numbering().items())
+        alive: set[int] = set()
+        for _, v in reversed(order):
+            x = self.versions[v]
+            if not x.deleted or v in alive:
+                alive.add(x.parent)
+        return set(self.versions) - alive
+
     def is_leaf(self, v: int) -> bool:
-        """All below it, if anything, is deleted."""
-        return all(self.versions[c].deleted and self.is_leaf(c) for c in self.children(v))
+        return v in self.leaves()
 
     def live_parent(self, v: int) -> int:
         v = self.versions[v].parent
@@ -101,14 +110,14 @@ class VersionTree:
 
     def health(self) -> dict[str, int]:
         """live; deleted (others below still need its data) and dead (a logical leaf)."""
-        out = {"live": 0, "deleted": 0, "dead": 0, "total": len(self.versions)}
+        out, leaves = {"live": 0, "deleted": 0, "dead": 0, "total": len(self.versions)}, self.leaves()
         for x in self.versions.values():
-            out["live" if not x.deleted else "dead" if self.is_leaf(x.v) else "deleted"] += 1
+            out["live" if not x.deleted else "dead" if x.v in leaves else "deleted"] += 1
         return out
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        numbers = self.numbering()
-        rows = [(x.v, x.parent, *numbers[x.v], x.deleted, self.is_leaf(x.v), self.is_mutable(x.v), self.live_parent(x.v), x.creation_ts, x.immute_ts) for x in self.versions.values()]
+        numbers, leaves, parents = self.numbering(), self.leaves(), {x.parent for x in self.versions.values()}
+        rows = [(x.v, x.parent, *numbers[x.v], x.deleted, x.v in leaves, x.v not in parents, self.live_parent(x.v), x.creation_ts, x.immute_ts) for x in self.versions.values()]
         if not rows or len(rows) > INLINE_ROWS:
             return spark.createDataFrame(rows, VERSIONS)
         # an inline table takes part in planning and needs no job of its own

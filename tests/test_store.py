@@ -192,9 +192,24 @@ def test_bulk_load(spark, store, tmp_path):
 def test_large_values(spark, store):
     _, root = store.create_vertree()
     store.attach("c", root)
-    parts = spark.createDataFrame([([b"k"], 1, b"world"), ([b"k"], 0, b"hello ")], "dims array<binary>, chunk_no long, chunk binary")
+    parts = spark.createDataFrame([([b"k"], 1, b"world", 77), ([b"k"], 0, b"hello " * 100, 5)], "dims array<binary>, chunk_no long, chunk binary, uts long")
     store.put_chunks("c", parts)
-    assert content(store.get("c", [b"k"])) == {("k",): "hello world"}
+    got = store.get("c", [b"k"])
+    assert content(got) == {("k",): "hello " * 100 + "world"} and got.first()["uts"] == 77
+    with refused("EINVAL"):
+        store.put_chunks("c", parts.where("chunk_no = 1"))
+
+
+def test_reads_give_counts(spark, store):
+    _, root = store.create_vertree(timestamped=False)
+    store.attach("n", root)
+    for n, add in ((5, False), (5, True), (5, True)):
+        store.count("n", spark.createDataFrame([([b"k"], n)], "dims array<binary>, n long"), add=add)
+    store.put("n", rows(spark, (["v"], "plain", 0)))
+    keys = spark.createDataFrame([([b"k"],), ([b"v"],)], "dims array<binary>")
+    for out in (store.get("n", [b"k"]), store.scan("n", [b"a"], [b"m"]), store.multi_get("n", keys).where("op <> 'VALUE'")):
+        assert [(r["op"], r["n"]) for r in out.collect()] == [("COUNTER_SET", 15)]
+    assert content(store.scan("n", [b"v"], [None])) == {("v",): "plain"}
 
 
 def test_streaming(spark, store, tmp_path):

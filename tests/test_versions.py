@@ -48,3 +48,11 @@ def test_refusals():
         big.add(v, 1)
     with pytest.raises(StoreError):
         big.add(201, 1)
+
+
+def test_a_long_chain_of_deleted_versions():
+    from palimpsest.versions import Version, VersionTree
+
+    t = VersionTree({v: Version(v, v - 1, deleted=v > 1) for v in range(1, 20_001)})
+    assert t.health() == {"live": 1, "deleted": 0, "dead": 19_999, "total": 20_000}
+    assert t.is_leaf(1)
