@@ -31,7 +31,7 @@ SHINGLE, BITS = 4, 4
 TRIES = 3
 LEADING = 64 // TRIES
 #: Rows of a trie node at the depth where the join is dealt out, the least depth, and rows of one cell that one task joins.
-NODE_ROWS, LEAST_DEPTH, CELL_ROWS = 8192, 6, 200_000
+NODE_ROWS, LEAST_DEPTH, CELL_ROWS = 8192, 4, 200_000
 #: Levels that a cell too large is taken down at once, and the last level for that.
 STEP, DEEPEST = 4, 60
 
