@@ -17,14 +17,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.functions.keys import key_bytes, order_key, validate
+from palimpsest.functions.keys import key_bytes, key_hash, order_key, validate
 from palimpsest.operators import compaction, reads, resolve, stats
 from palimpsest.schema import COUNTER_ADD, COUNTER_SET, LOG, MAX_INLINE_BYTES, OPS, TOMBSTONE, VALUE, StoreError
 from palimpsest.versions import Version, VersionTree
 
 #: Catalogues kept, the newest included.
 KEPT_CATALOGUES = 100
+#: Parts in which a merge can go on step by step; each takes whole keys.
+MERGE_UNITS = 8
+#: Arrays as they are stored: the first dimension beside the key, so that bounds on it skip files and row groups.
+STORED = T.StructType([*LOG, T.StructField("first", T.BinaryType())])
 _EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": []}
 
 
@@ -197,6 +202,7 @@ class Store:
     def _drop_tree(s: dict, vertree: int) -> None:
         del s["vertrees"][str(vertree)]
         s["arrays"] = {k: a for k, a in s["arrays"].items() if a["vertree"] != vertree}
+        s["merges"] = {k: m for k, m in s.get("merges", {}).items() if m["vertree"] != vertree}
 
     # writes
 
@@ -240,17 +246,31 @@ class Store:
 
     def _publish(self, s: dict, vertree: int, array: int, age: int, log: DataFrame, event: str, replaces: list[int] | None = None) -> int:
         """Write a sorted array, then name it in the catalogue."""
+        return self._link(s, vertree, array, age, [self._write_run(vertree, array, log)], event, replaces)
+
+    def _write_run(self, vertree: int, array: int, log: DataFrame) -> str:
+        """Rows sorted by key in a new folder, which no catalogue names yet."""
         path = f"{self.root}/arrays/{vertree}/{array}-{uuid.uuid4().hex[:8]}"
         by = order_key(F.col("dims"))
-        log.repartitionByRange(by).sortWithinPartitions(by, F.col("v").desc()).write.parquet(path)
-        made = self.spark.read.schema(LOG).parquet(path)
+        out = log.select(*LOG.names, F.col("dims")[0].alias("first")).repartitionByRange(by).sortWithinPartitions(by, F.col("v").desc())
+        out.write.option("parquet.bloom.filter.enabled#first", "true").parquet(path)
+        return path
+
+    def _link(self, s: dict, vertree: int, array: int, age: int, paths: list[str], event: str, replaces: list[int] | None = None) -> int:
+        """Name written runs in the catalogue as one array, with its sizes and the bounds of what it holds."""
+        made = self.spark.read.schema(STORED).parquet(*paths)
         size = F.when(F.col("op").isin(COUNTER_SET, COUNTER_ADD), 16).otherwise(F.coalesce(F.length("value"), F.lit(0))) + key_bytes(F.col("dims"))
-        m = made.agg(F.count(F.lit(1)).alias("items"), F.sum(size).alias("bytes"), F.min("uts").alias("lo"), F.max("uts").alias("hi"), F.max("seq").alias("seq")).first()
+        m = made.agg(
+            F.count(F.lit(1)).alias("items"), F.sum(size).alias("bytes"), F.min("uts").alias("lo"), F.max("uts").alias("hi"), F.max("seq").alias("seq"), F.hex(F.min("first")).alias("low"), F.hex(F.max("first")).alias("high")
+        ).first()
         if not m["items"] and not replaces:
             return 0  # nothing to link
         for k in replaces or []:
             s["arrays"].pop(str(k))
-        s["arrays"][str(array)] = {"id": array, "vertree": vertree, "data_age": age, "level": 2, "path": path, "items": m["items"], "bytes": m["bytes"] or 0, "min_uts": m["lo"], "max_uts": m["hi"], "barrier": False, "state": "idle"}
+        s["arrays"][str(array)] = {
+            "id": array, "vertree": vertree, "data_age": age, "level": 2, "paths": paths, "items": m["items"], "bytes": m["bytes"] or 0, "min_uts": m["lo"], "max_uts": m["hi"],
+            "low": m["low"], "high": m["high"], "barrier": False, "state": "idle",
+        }
         s["next_seq"] = max(s["next_seq"], (m["seq"] or 0) + 1)
         self._change(s, event, vertree, array)
         return array
@@ -280,21 +300,35 @@ class Store:
 
     # reads
 
-    def log(self, vertree: int, state: dict | None = None, newer_than: int | None = None) -> DataFrame:
-        """All entries of a tree, over the arrays that the catalogue names now."""
-        s = state or self.state()
-        paths = [a["path"] for a in s["arrays"].values() if a["vertree"] == vertree and not a["barrier"] and (newer_than is None or (a["max_uts"] or 0) > newer_than)]
-        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+    def log(self, vertree: int, state: dict | None = None, newer_than: int | None = None, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+        """All entries of a tree, over the arrays that the catalogue names now.
 
-    def _view(self, name: str, kind: str) -> tuple[dict, dict, DataFrame, VersionTree, bool]:
+        ``newer_than`` leaves out arrays without a greater user timestamp. ``low`` and
+        ``high`` bound the first dimension: arrays beside them are not read, and
+        in the others the bounds reach the Parquet scan.
+        """
+        s = state or self.state()
+        own = [a for a in s["arrays"].values() if a["vertree"] == vertree and not a["barrier"] and (newer_than is None or (a["max_uts"] or 0) > newer_than)]
+        own = [a for a in own if a["items"] and (low is None or bytes.fromhex(a["high"]) >= low) and (high is None or bytes.fromhex(a["low"]) <= high)]
+        if not own:
+            return self.spark.createDataFrame([], LOG)
+        out = self.spark.read.schema(STORED).parquet(*(p for a in own for p in a["paths"]))
+        if low is not None:
+            out = out.where(F.col("first") >= F.lit(bytearray(low)))
+        if high is not None:
+            out = out.where(F.col("first") <= F.lit(bytearray(high)))
+        return out.select(*LOG.names)
+
+    def _view(self, name: str, kind: str, low: bytes | None = None, high: bytes | None = None) -> tuple[dict, dict, DataFrame, VersionTree, bool]:
         s = self.state()
         c = self._collection(s, name)
         self.requests[name, kind] += 1
         tree = self._tree(s, c["vertree"])
-        return s, c, self.log(c["vertree"], s), tree, s["vertrees"][str(c["vertree"])]["timestamped"]
+        return s, c, self.log(c["vertree"], s, low=low, high=high), tree, s["vertrees"][str(c["vertree"])]["timestamped"]
 
     def get(self, name: str, dims: list[bytes], tombstones: bool = False) -> DataFrame:
-        _, c, log, versions, timestamped = self._view(name, "gets")
+        first = bytes(dims[0]) if dims else None
+        _, c, log, versions, timestamped = self._view(name, "gets", first, first)
         key = F.array(*(F.lit(bytearray(d)) for d in dims))
         return resolve.read(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones)
 
@@ -302,45 +336,104 @@ class Store:
         _, c, log, versions, timestamped = self._view(name, "gets")
         return resolve.read(log.join(wanted.select("dims").distinct(), "dims", "left_semi"), versions, ["dims"], c["version"], timestamped)
 
-    def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True) -> DataFrame:
-        """Visible entries inside an inclusive box over keys of that many dimensions, in key order."""
-        _, c, log, versions, timestamped = self._view(name, "range_queries")
+    def get_chunks(self, name: str, dims: list[bytes], size: int) -> DataFrame:
+        """(dims, chunk_no, chunk) of one value, cut into pieces of ``size`` bytes."""
+        return reads.chunks(self.get(name, dims), "dims", "value", size)
+
+    def _inside(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool, behind: list[bytes] | None = None) -> DataFrame:
         reads.check_bounds(low, low, high)
+        least = max((bytes(x[0]) for x in (low, behind or [None]) if x[0] is not None), default=None)
+        _, c, log, versions, timestamped = self._view(name, "range_queries", least, high[0])
         log = log.where(F.size("dims") == len(low))
         for i, (lo, hi) in enumerate(zip(low, high)):
             d = F.col("dims")[i]
             log = log.where(d >= F.lit(bytearray(lo))) if lo is not None else log
             log = log.where(d <= F.lit(bytearray(hi))) if hi is not None else log
-        out = resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones).orderBy(order_key(F.col("dims")))
+        if behind is not None:
+            log = log.where(F.col("dims") > F.array(*(F.lit(bytearray(d)) for d in behind)))
+        return resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones)
+
+    def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True) -> DataFrame:
+        """Visible entries inside an inclusive box over keys of that many dimensions, in key order."""
+        out = self._inside(name, low, high, tombstones).orderBy(order_key(F.col("dims")))
         return out if values else out.select("dims")
 
+    def page(self, name: str, low: list[bytes | None], high: list[bytes | None], size: int, last: list[bytes] | None = None) -> DataFrame:
+        """The next ``size`` visible entries of a box in key order, behind the key ``last``; what lies before it is not read."""
+        return self._inside(name, low, high, False, last).orderBy("dims").limit(size)
+
     def read_counters(self, name: str) -> DataFrame:
         _, c, log, versions, _ = self._view(name, "range_queries")
         return resolve.counters(log, versions, ["dims"], c["version"])
 
     # merges
 
-    def merge(self, vertree: int, arrays: list[int]) -> int:
-        """Merge a contiguous run of arrays into one that takes their least age."""
-        s = self.state()
-        tree = self._tree(s, vertree)
-        own = {a["id"]: a for a in s["arrays"].values() if a["vertree"] == vertree}
-        if any(a in {x["id"] for x in s["arrays"].values()} - set(own) for a in arrays):
+    def _check_merge(self, s: dict, vertree: int, arrays: list[int]) -> None:
+        self._tree(s, vertree)
+        own = {a["id"] for a in s["arrays"].values() if a["vertree"] == vertree}
+        if any(a in {x["id"] for x in s["arrays"].values()} - own for a in arrays):
             raise StoreError(103)
         compaction.check_contiguous(self.arrays(s).where(F.col("vertree") == vertree), arrays)
-        data = [a for a in own.values() if not a["barrier"]]
+
+    def _merged(self, s: dict, vertree: int, arrays: list[int], array: int, age: int, units: tuple[int, int] | None = None) -> DataFrame:
+        """What the arrays hold after a merge; of the keys of some units, if these are given."""
+        data = [a for a in s["arrays"].values() if a["vertree"] == vertree and not a["barrier"]]
         oldest = min(data, key=lambda a: a["data_age"])["id"] in arrays
         others = [a["min_uts"] for a in data if a["id"] not in arrays and a["min_uts"] is not None]
         meta = s["vertrees"][str(vertree)]
-        log = self.spark.read.schema(LOG).parquet(*(own[a]["path"] for a in arrays))
-        counter = not log.where(F.col("op").isin(COUNTER_SET, COUNTER_ADD)).limit(1).isEmpty()
+        log = self._inputs(s, arrays, units)
+        counter = not self._inputs(s, arrays).where(F.col("op").isin(COUNTER_SET, COUNTER_ADD)).limit(1).isEmpty()
         out = compaction.merge(
-            log, tree.frame(self.spark), ["dims"], timestamped=meta["timestamped"], counter=counter, oldest=oldest, now=self._now(), period=meta["discard_s"], least_other_uts=min(others) if others else None
+            log, self._tree(s, vertree).frame(self.spark), ["dims"], timestamped=meta["timestamped"], counter=counter, oldest=oldest, now=self._now(), period=meta["discard_s"], least_other_uts=min(others) if others else None
         )
-        array, age = self._id(s), min(own[a]["data_age"] for a in arrays)
         fill = {"vertree": F.lit(vertree).cast("long"), "array_id": F.lit(array).cast("long"), "data_age": F.lit(age).cast("long"), "uts": F.coalesce("uts", F.lit(0)).cast("long")}
-        out = out.withColumns(fill)
-        return self._publish(s, vertree, array, age, out.select(*LOG.names), "MERGE_WORK_FINISHED", replaces=arrays)
+        return out.withColumns(fill).select(*LOG.names)
+
+    def _inputs(self, s: dict, arrays: list[int], units: tuple[int, int] | None = None) -> DataFrame:
+        log = self.spark.read.schema(LOG).parquet(*(p for a in arrays for p in s["arrays"][str(a)]["paths"]))
+        return log if units is None else log.where(F.pmod(key_hash(F.col("dims")), F.lit(MERGE_UNITS)).between(units[0], units[1] - 1))
+
+    def merge(self, vertree: int, arrays: list[int]) -> int:
+        """Merge a contiguous run of arrays into one that takes their least age."""
+        s = self.state()
+        self._check_merge(s, vertree, arrays)
+        array, age = self._id(s), min(s["arrays"][str(a)]["data_age"] for a in arrays)
+        return self._publish(s, vertree, array, age, self._merged(s, vertree, arrays, array, age), "MERGE_WORK_FINISHED", replaces=arrays)
+
+    def merge_start(self, vertree: int, arrays: list[int]) -> int:
+        """Begin a merge that goes on by ``merge_work``; its inputs stay readable, and no other merge may take them."""
+        s = self.state()
+        self._check_merge(s, vertree, arrays)
+        merge, array = self._id(s), self._id(s)
+        for a in arrays:
+            s["arrays"][str(a)]["state"] = "input"
+        total = sum(s["arrays"][str(a)]["items"] for a in arrays)
+        s.setdefault("merges", {})[str(merge)] = {"id": merge, "vertree": vertree, "arrays": arrays, "output": array, "units": 0, "done": 0, "total": total, "paths": []}
+        self._change(s, "MERGE_STARTED", vertree, merge)
+        return merge
+
+    def merge_work(self, merge: int, units: int = MERGE_UNITS) -> bool:
+        """Merge the keys of the next units; True once the output has taken the place of the inputs.
+
+        A unit is a part of all keys by their hash. A call that fails leaves no
+        trace but a folder that no catalogue names, and may be made again.
+        """
+        s = self.state()
+        m = s.get("merges", {}).get(str(merge))
+        if m is None:
+            raise StoreError(112)
+        if units < 1:
+            raise StoreError("EINVAL", "no units")
+        age = min(s["arrays"][str(a)]["data_age"] for a in m["arrays"])
+        span = (m["units"], min(m["units"] + units, MERGE_UNITS))
+        m["paths"].append(self._write_run(m["vertree"], m["output"], self._merged(s, m["vertree"], m["arrays"], m["output"], age, span)))
+        m["units"], m["done"] = span[1], m["done"] + self._inputs(s, m["arrays"], span).count()
+        if m["units"] < MERGE_UNITS:
+            self._change(s, "MERGE_WORK_DONE", m["vertree"], merge)
+            return False
+        del s["merges"][str(merge)]
+        self._link(s, m["vertree"], m["output"], age, m["paths"], "MERGE_WORK_FINISHED", replaces=m["arrays"])
+        return True
 
     # incremental backup
 
@@ -351,7 +444,7 @@ class Store:
         if meta["pending_barrier"] is not None:
             raise StoreError("EBUSY", "a backup is running")
         array = self._id(s)
-        s["arrays"][str(array)] = {"id": array, "vertree": vertree, "data_age": array, "level": 2, "path": "", "items": 0, "bytes": 0, "min_uts": None, "max_uts": None, "barrier": True, "state": "barrier"}
+        s["arrays"][str(array)] = {"id": array, "vertree": vertree, "data_age": array, "level": 2, "paths": [], "items": 0, "bytes": 0, "min_uts": None, "max_uts": None, "barrier": True, "state": "barrier"}
         meta["pending_barrier"] = array
         self._change(s, "BACKUP_STARTED", vertree, array)
         return array
@@ -402,6 +495,11 @@ class Store:
             rows.append((int(k), t["root"], t["timestamped"], t["discard_s"], len(own), sum(a["items"] for a in own), sum(a["bytes"] for a in own), t["barrier"]))
         return self._rows(rows, "vertree long, root_version long, timestamped boolean, discard_s long, arrays int, item_count long, nr_bytes long, active_barrier long")
 
+    def merges(self) -> DataFrame:
+        """Merges under way: inputs, output, and how many of the inputs' entries are through."""
+        rows = [(m["id"], m["vertree"], m["arrays"], m["output"], m["done"], m["total"], 100 * m["done"] // max(m["total"], 1)) for m in self.state().get("merges", {}).values()]
+        return self._rows(rows, "merge_id long, vertree long, in_arrays array<long>, out_array long, done long, total long, percent long")
+
     def collections(self) -> DataFrame:
         """Collections, with the requests that this process has made to each."""
         rows = [(c["id"], n, c["vertree"], c["version"], c["read_only"], *(self.requests[n, k] for k in ("gets", "puts", "range_queries"))) for n, c in self.state()["collections"].items()]
