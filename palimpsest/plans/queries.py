@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keys as K
 from palimpsest.operators import compaction, reads, resolve, stats
+from palimpsest.plans import store_queries
 from palimpsest.plans.fixtures import DAY_S, KEYS, log, sql, table, tree, versions
 from palimpsest.schema import TOMBSTONE
 from palimpsest.sources import streamin
@@ -506,47 +507,6 @@ def sys_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("v", F.col("parent").cast("int"), "is_leaf", "keys", "tombstones", "tombstone_deletes", "key_replaces")
 
 
-@query(sql("SELECT CAST(v % 2 AS BIGINT) AS vertree, min(v) AS root_version, CAST(count(DISTINCT data_age) AS BIGINT) AS arrays, CAST(count(*) AS BIGINT) AS item_count FROM log GROUP BY 1"))
-def sys_vertrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes by tree, reading odd and even versions as two trees."""
-    rows = log(spark, sf_dir).withColumn("vertree", F.col("v") % 2)
-    per = stats.array_stats(rows.withColumn("array", F.struct("vertree", "data_age")), KEYS, by="array")
-    roots = rows.groupBy("vertree").agg(F.min("v").alias("root_version"))
-    sizes = per.groupBy(F.col("array.vertree").alias("vertree")).agg(F.count(F.lit(1)).alias("arrays"), F.sum("item_count").alias("item_count"))
-    return sizes.join(roots, "vertree").select("vertree", F.col("root_version"), "arrays", "item_count")
-
-
-@query(sql("SELECT data_age AS array_id, CASE WHEN data_age IN (3, 7) THEN 'barrier' WHEN data_age IN (4, 5, 6) THEN 'input' ELSE 'idle' END AS merge_state, CAST(count(*) AS BIGINT) AS item_count FROM log GROUP BY ALL"))
-def sys_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.when(F.col("data_age").isin(3, 7), "barrier").when(F.col("data_age").isin(4, 5, 6), "input").otherwise("idle")
-    return stats.array_stats(log(spark, sf_dir), KEYS).select(F.col("data_age").alias("array_id"), state.alias("merge_state"), "item_count")
-
-
-@query(sql("SELECT CAST(count(*) FILTER (data_age BETWEEN 4 AND 6) AS BIGINT) AS total, CAST(count(*) FILTER (data_age BETWEEN 5 AND 6) AS BIGINT) AS done, CAST(100 * count(*) FILTER (data_age BETWEEN 5 AND 6) // count(*) FILTER (data_age BETWEEN 4 AND 6) AS BIGINT) AS percent FROM log"))
-def sys_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress of a merge of arrays 4 to 6 of which 6 and 5 are through."""
-    inputs = stats.array_stats(log(spark, sf_dir).where("data_age between 4 and 6"), KEYS)
-    done = F.sum(F.when(F.col("data_age") >= 5, F.col("item_count")).otherwise(0))
-    return inputs.agg(F.sum("item_count").alias("total"), done.alias("done")).select("total", "done", F.expr("100 * done div total").alias("percent"))
-
-
-@query(
-    "SELECT event_type AS collection, CAST(count(*) FILTER (value < 50) AS BIGINT) AS gets, CAST(count(*) FILTER (value >= 50) AS BIGINT) AS puts, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY 1"
-)
-def sys_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by collection, from a log of requests."""
-    requests = table(spark, sf_dir, "events").select(F.col("event_type").alias("collection"), (F.col("value") < 50).alias("is_get"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
-    return requests.groupBy("collection").agg(F.count_if("is_get").alias("gets"), F.count_if(~F.col("is_get")).alias("puts"), F.sum("bytes").alias("bytes"))
-
-
-@query("SELECT event_id, event_type AS cmd, user_id AS arg FROM events WHERE event_id > (SELECT max(event_id) - 100 FROM events)")
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tail of the event log."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("cmd"), F.col("user_id").alias("arg"))
-    last = e.agg((F.max("event_id") - 100).alias("since"))
-    return e.join(F.broadcast(last), F.col("event_id") > F.col("since")).drop("since")
-
-
 @query(
     "SELECT user_id, ts AS begun, ended FROM (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS ended FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'view' AND nk = 'purchase'"
 )
@@ -577,4 +537,8 @@ def array_sorted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.visible(whole, tree(), KEYS, 8).select("d0", "d1", "seq")
 
 
+for _name, (_query, _sql) in store_queries.queries(_count_sql, _COUNTED).items():
+    QUERIES[_name], ORACLES[_name] = _query, _sql
+
+
 __all__ = ["ORACLES", "QUERIES", "VersionTree", "tree"]

@@ -221,3 +221,37 @@ def test_streaming(spark, store, tmp_path):
         ingest(read_log(spark, f"file://{tmp_path}/in"), store, "c", f"file://{tmp_path}/checkpoint").awaitTermination()
     assert content(store.scan("c", [None], [None])) == {("a",): "1", ("b",): "2"}
     assert store.log(store.collections().first()["vertree"]).agg(F.count(F.lit(1))).first()[0] == 2
+
+
+def test_reads_skip_arrays_and_row_groups(spark, store):
+    tree, root = store.create_vertree(timestamped=False)
+    store.attach("c", root)
+    store.put("c", rows(spark, (["a"], "1", 0), (["c"], "2", 0)))
+    store.put("c", rows(spark, (["m"], "3", 0), (["p"], "4", 0)))
+    assert len(store.log(tree, low=b"b", high=b"d").inputFiles()) < len(store.log(tree).inputFiles())
+    assert store.log(tree, low=b"x").count() == 0
+    plan = store.get("c", [b"m"])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(first" in plan and "LessThanOrEqual(first" in plan
+    assert content(store.scan("c", [b"b"], [b"n"])) == {("c",): "2", ("m",): "3"}
+    assert [bytes(r["dims"][0]) for r in store.page("c", [None], [None], 2, last=[b"a"]).collect()] == [b"c", b"m"]
+    assert [bytes(r["chunk"]) for r in store.get_chunks("c", [b"p"], 1).collect()] == [b"4"]
+
+
+def test_merge_in_steps(spark, store):
+    tree, root = store.create_vertree(timestamped=False)
+    store.attach("c", root)
+    for k in "ab":
+        store.put("c", rows(spark, *(([f"{i}"], k, 0) for i in range(20))))
+    arrays = [r["array_id"] for r in store.arrays().collect()]
+    merge = store.merge_start(tree, arrays)
+    with refused(108):
+        store.merge(tree, arrays)
+    assert not store.merge_work(merge, 3)
+    half = store.merges().first()
+    assert 0 < half["done"] < half["total"] == 40
+    assert content(store.scan("c", [None], [None])) == {(f"{i}",): "b" for i in range(20)}
+    assert store.merge_work(merge)
+    assert store.merges().count() == 0 and store.arrays().count() == 1
+    assert content(store.scan("c", [None], [None])) == {(f"{i}",): "b" for i in range(20)}
+    with refused(112):
+        store.merge_work(merge)
