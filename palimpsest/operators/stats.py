@@ -51,9 +51,13 @@ def version_stats(log: DataFrame, keys: list[str], timestamped: bool = False) ->
 
 
 def discard_stats(before: DataFrame, after: DataFrame, keys: list[str], versions: DataFrame, timestamped: bool) -> DataFrame:
-    """(v, version_deletes, timestamp_rejects): what a merge dropped, by cause."""
+    """(v, version_deletes, timestamp_rejects): what a merge dropped, by cause.
+
+    ``before`` has one entry a key and version. Tombstones that go from a tree of user
+    timestamps may have gone by age, so they are no rejects.
+    """
     gone = before.join(after.select(*keys, "v"), [*keys, "v"], "left_anti").join(F.broadcast(versions.select("v", "deleted")), "v")
-    return gone.groupBy("v").agg(F.count_if("deleted").alias("version_deletes"), F.count_if(~F.col("deleted") & F.lit(timestamped)).alias("timestamp_rejects"))
+    return gone.groupBy("v").agg(F.count_if("deleted").alias("version_deletes"), F.count_if(~F.col("deleted") & (F.col("op") != TOMBSTONE) & F.lit(timestamped)).alias("timestamp_rejects"))
 
 
 def intervals(events: DataFrame, by: list[str], time: str, kind: str, start: str, end: str) -> DataFrame:

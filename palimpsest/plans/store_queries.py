@@ -109,6 +109,14 @@ def _named(spark: SparkSession, numbers: dict, id_name: str) -> DataFrame:
 
 
 ALL = [None, None]
+#: The events of ``history`` in order.
+HISTORY = (
+    *("VERSION_TREE_CREATED", "COLLECTION_ATTACHED", "NEW_TREE_ADDED"),
+    *("COLLECTION_SNAPSHOT", "NEW_TREE_ADDED") * 2,
+    *("CLONE", "COLLECTION_ATTACHED", "NEW_TREE_ADDED"),
+    *("COLLECTION_SNAPSHOT", "NEW_TREE_ADDED") * 4,
+    *("VERSION_TREE_CREATED", "TOMBSTONE_DISCARD_SET", "COLLECTION_ATTACHED", "NEW_TREE_ADDED", "NEW_TREE_ADDED"),
+)
 
 
 def scan_a_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +143,7 @@ def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Puts and removals with user timestamps: the greatest wins, whatever came last."""
-    return _numbers(history(spark, sf_dir)[0].scan("t", ALL, ALL), F.col("value").cast("string").alias("value"), "uts")
+    return _numbers(history(spark, sf_dir)[0].scan("t", ALL, ALL, user_timestamps=True), F.col("value").cast("string").alias("value"), "uts")
 
 
 def stepwise_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +182,7 @@ def versions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collections_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collections with the requests of one process: two reads of a key, a range, a write."""
+    """Collections with their requests: eight writes of the history, then two reads of a key, a range and a write, seen by another process."""
     store, p = fork(spark, sf_dir)
     for d in (1, 2):
         store.get("a", _key(d, 0))
@@ -182,6 +190,8 @@ def collections_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.detach("t")
     store.attach("old", p["versions"][3])
     store.count("b", _writes(log(spark, sf_dir, counters=True)).where(F.col("op") == COUNTER_ADD).drop("op"))
+    store.save_requests()
+    store = Store(spark, store.root)
     return store.collections().join(_named(spark, p["versions"], "version"), "version").select("name", F.col("v").alias("version"), "read_only", "gets", "puts", "range_queries")
 
 
@@ -189,6 +199,25 @@ def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir)[0].events().groupBy("cmd").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dropped_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merge of all arrays dropped of the deleted version 7, by the versions view."""
+    store, p = fork(spark, sf_dir)
+    store.detach("a")
+    store.delete_version(p["versions"][7])
+    store.merge(p["tree"], list(p["arrays"].values()))
+    own = _named(spark, p["versions"], "id")
+    return store.versions(p["tree"]).withColumnRenamed("v", "id").join(own, "id").select("v", F.col("vertree").eqNullSafe(p["tree"]).alias("in_tree"), "version_deletes", "timestamp_rejects")
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's events as a stream brings them."""
+    store, _ = history(spark, sf_dir)
+    out = f"{folder(spark)}/events"
+    started = store.event_stream(max_files=10).writeStream.format("parquet").option("checkpointLocation", f"{out}-at").option("path", out).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.read.parquet(out).select("event_id", "cmd")
+
+
 def reattached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branch "b" put back to version 4."""
     store, p = fork(spark, sf_dir)
@@ -222,7 +251,7 @@ def bulk_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     column = batches.columns[0]
     store.stream_in("c", batches, column, abort=True)
     store.stream_in("c", batches, column)
-    return _numbers(store.scan("c", ALL, ALL), F.col("value").cast("string").alias("value"), "uts")
+    return _numbers(store.scan("c", ALL, ALL, user_timestamps=True), F.col("value").cast("string").alias("value"), "uts")
 
 
 def second_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,12 +310,20 @@ FROM ver w LEFT JOIN s ON s.v = w.v GROUP BY ALL"""
         ),
         "sys_collections": (
             collections_view,
-            "SELECT * FROM (VALUES ('a', CAST(7 AS BIGINT), false, CAST(2 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)), ('b', 8, false, 0, 1, 1), ('old', 3, true, 0, 0, 0)) AS c(name, version, read_only, gets, puts, range_queries)",
+            "SELECT * FROM (VALUES ('a', CAST(7 AS BIGINT), false, CAST(2 AS BIGINT), CAST(5 AS BIGINT), CAST(0 AS BIGINT)), ('b', 8, false, 0, 4, 1), ('old', 3, true, 0, 0, 0)) AS c(name, version, read_only, gets, puts, range_queries)",
         ),
         "events_log": (
             events_view,
             "SELECT cmd, CAST(n AS BIGINT) AS n FROM (VALUES ('VERSION_TREE_CREATED', 2), ('COLLECTION_ATTACHED', 3), ('COLLECTION_SNAPSHOT', 6), ('CLONE', 1), ('NEW_TREE_ADDED', 10), ('TOMBSTONE_DISCARD_SET', 1)) AS e(cmd, n)",
         ),
+        "events_stream": (
+            streamed_events,
+            "SELECT CAST(event_id AS BIGINT) AS event_id, cmd FROM (VALUES " + ", ".join(f"({k}, '{cmd}')" for k, cmd in enumerate(HISTORY, 1)) + ") AS e(event_id, cmd)",
+        ),
+        "store_version_deletes": (
+            dropped_view,
+            every("SELECT CAST(w.v AS BIGINT) AS v, true AS in_tree, CAST(count(DISTINCT (d0, d1)) FILTER (w.v = 7) AS BIGINT) AS version_deletes, CAST(0 AS BIGINT) AS timestamp_rejects FROM ver w LEFT JOIN log s ON s.v = w.v GROUP BY ALL"),
+        ),
         "store_reattach": (reattached, at(4)),
         "store_delete_version": (version_deleted, count_sql("(SELECT * FROM anc WHERE qv = 8)", counted + ", CAST(0 AS BIGINT) AS of_deleted")),
         "store_destroy_tree": (tree_destroyed, every("SELECT false AS timestamped, CAST(count(*) AS BIGINT) AS items FROM log")),

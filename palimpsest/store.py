@@ -30,17 +30,21 @@ KEPT_CATALOGUES = 100
 MERGE_UNITS = 8
 #: Arrays as they are stored: the first dimension beside the key, so that bounds on it skip files and row groups.
 STORED = T.StructType([*LOG, T.StructField("first", T.BinaryType())])
-_EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": []}
+EVENTS = "event_id long, ts long, cmd string, args array<long>"
+#: Requests that are counted; sizes are bytes of keys and values written.
+REQUESTS = ("gets", "big_gets", "puts", "puts_size", "big_puts", "big_puts_size", "range_queries")
+_EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": 0, "event": None, "requests": {}, "discards": {}}
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
-        self.requests: Counter = Counter()  # (collection, kind), as this process has seen them
+        self.requests: Counter = Counter()  # (collection id, kind), not yet in the catalogue
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/catalogue"))
+        for folder in ("catalogue", "events"):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
         if not self._numbers():
             self._write(0, _EMPTY)
 
@@ -51,16 +55,21 @@ class Store:
         return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
     def _write(self, number: int, state: dict) -> None:
-        """Write aside, then rename to a name that must not exist yet."""
-        aside, to = self._path(f"{self.root}/catalogue/.{uuid.uuid4().hex}"), self._path(f"{self.root}/catalogue/{number:012d}.json")
+        if not self._write_new("catalogue", number, state):
+            raise StoreError(4, "another writer changed the catalogue")
+        # readers work on the newest; older ones stay a while for those that just looked
+        self._fs.delete(self._path(f"{self.root}/catalogue/{number - KEPT_CATALOGUES:012d}.json"), False)
+
+    def _write_new(self, folder: str, number: int, what: dict) -> bool:
+        """Write aside, then rename to a name that must not exist yet; False if it does."""
+        aside, to = self._path(f"{self.root}/{folder}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/{folder}/{number:012d}.json")
         out = self._fs.create(aside, False)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(json.dumps(what).encode()))
         out.close()
         if self._fs.exists(to) or not self._fs.rename(aside, to):
             self._fs.delete(aside, False)
-            raise StoreError(4, "another writer changed the catalogue")
-        # readers work on the newest; older ones stay a while for those that just looked
-        self._fs.delete(self._path(f"{self.root}/catalogue/{number - KEPT_CATALOGUES:012d}.json"), False)
+            return False
+        return True
 
     def state(self) -> dict:
         """The catalogue as it is now: the snapshot that one request works on."""
@@ -71,10 +80,36 @@ class Store:
         return json.loads(text) | {"number": number}
 
     def _change(self, state: dict, event: str, *args: int) -> None:
-        state["events"].append([len(state["events"]) + 1, self._now(), event, list(args)])
+        """Publish a state with its event. Requests counted so far go along."""
+        self._publish_event(state)
+        state["events"] += 1
+        state["event"] = {"event_id": state["events"], "ts": self._now(), "cmd": event, "args": list(args)}
+        self._put_state(state)
+        self._publish_event(state)
+
+    def _put_state(self, state: dict) -> None:
+        asked = self._asked(state)
         number = state.pop("number")
-        self._write(number + 1, state)
-        state["number"] = number + 1
+        self._write(number + 1, state | {"requests": asked})
+        state |= {"number": number + 1, "requests": asked}
+        self.requests.clear()
+
+    def _publish_event(self, state: dict) -> None:
+        """The newest event in a file of its own; a writer that fails before it leaves this to the next."""
+        if (event := state["event"]) is not None and not self._fs.exists(self._path(f"{self.root}/events/{event['event_id']:012d}.json")):
+            self._write_new("events", event["event_id"], event)
+
+    def _asked(self, state: dict) -> dict:
+        """Requests by collection id and kind: those of the catalogue, and what this process has made since."""
+        asked = {k: dict(x) for k, x in state["requests"].items()}
+        for (c, kind), n in self.requests.items():
+            own = asked.setdefault(str(c), {})
+            own[kind] = own.get(kind, 0) + n
+        return asked
+
+    def save_requests(self) -> None:
+        """Put this process's request counts into the catalogue, as any change does."""
+        self._put_state(self.state())
 
     def _now(self) -> int:
         return int(self.clock())
@@ -139,6 +174,9 @@ class Store:
         s = self.state()
         c = self._collection(s, name)
         del s["collections"][name]
+        s["requests"].pop(str(c["id"]), None)
+        for kind in REQUESTS:
+            self.requests.pop((c["id"], kind), None)
         self._change(s, "COLLECTION_DETACHED", c["id"], c["version"])
 
     def reattach(self, name: str, version: int) -> None:
@@ -206,7 +244,7 @@ class Store:
 
     # writes
 
-    def write(self, name: str, rows: DataFrame, order: str | None = None) -> int:
+    def write(self, name: str, rows: DataFrame, order: str | None = None, counted_as: str = "puts") -> int:
         """Append rows (dims, op, value, n, uts) to a collection as one new array.
 
         ``order`` names a column of unique numbers that says which write came
@@ -218,8 +256,10 @@ class Store:
         c = self._collection(s, name)
         if c["read_only"] or not self._tree(s, c["vertree"]).is_mutable(c["version"]):
             raise StoreError("EROFS", "the version is frozen")
-        self.requests[name, "puts"] += 1
-        return self._append(s, c["vertree"], c["version"], rows, order)
+        self.requests[c["id"], counted_as] += 1
+        if array := self._append(s, c["vertree"], c["version"], rows, order):
+            self.requests[c["id"], f"{counted_as}_size"] += s["arrays"][str(array)]["bytes"]
+        return array
 
     @staticmethod
     def rejects(rows: DataFrame) -> DataFrame:
@@ -289,7 +329,7 @@ class Store:
         whole = reads.assemble(parts.withColumnRenamed("dims", "k"), "k").withColumnRenamed("k", "dims")
         if not whole.where(F.length("value") <= MAX_INLINE_BYTES).limit(1).isEmpty():
             raise StoreError("EINVAL", f"a value of at most {MAX_INLINE_BYTES} bytes is no large one")
-        return self.put(name, whole)
+        return self.write(name, whole.withColumn("op", F.lit(VALUE)), counted_as="big_puts")
 
     def stream_in(self, name: str, batches: DataFrame, column: str = "content", abort: bool = False) -> int:
         """Load batches of packed records as one array; all or nothing, 0 if aborted or empty."""
@@ -322,25 +362,32 @@ class Store:
     def _view(self, name: str, kind: str, low: bytes | None = None, high: bytes | None = None) -> tuple[dict, dict, DataFrame, VersionTree, bool]:
         s = self.state()
         c = self._collection(s, name)
-        self.requests[name, kind] += 1
+        self.requests[c["id"], kind] += 1
         tree = self._tree(s, c["vertree"])
         return s, c, self.log(c["vertree"], s, low=low, high=high), tree, s["vertrees"][str(c["vertree"])]["timestamped"]
 
-    def get(self, name: str, dims: list[bytes], tombstones: bool = False) -> DataFrame:
+    @staticmethod
+    def _stamped(rows: DataFrame, asked: bool, timestamped: bool) -> DataFrame:
+        """User timestamps as asked for: null if not, refused where the tree has none."""
+        if asked and not timestamped:
+            raise StoreError("EINVAL", "the tree has no user timestamps")
+        return rows if asked else rows.withColumn("uts", F.lit(None).cast("long"))
+
+    def get(self, name: str, dims: list[bytes], tombstones: bool = False, user_timestamps: bool = False, kind: str = "gets") -> DataFrame:
         first = bytes(dims[0]) if dims else None
-        _, c, log, versions, timestamped = self._view(name, "gets", first, first)
+        _, c, log, versions, timestamped = self._view(name, kind, first, first)
         key = F.array(*(F.lit(bytearray(d)) for d in dims))
-        return resolve.read(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones)
+        return self._stamped(resolve.read(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones), user_timestamps, timestamped)
 
-    def multi_get(self, name: str, wanted: DataFrame) -> DataFrame:
+    def multi_get(self, name: str, wanted: DataFrame, user_timestamps: bool = False) -> DataFrame:
         _, c, log, versions, timestamped = self._view(name, "gets")
-        return resolve.read(log.join(wanted.select("dims").distinct(), "dims", "left_semi"), versions, ["dims"], c["version"], timestamped)
+        return self._stamped(resolve.read(log.join(wanted.select("dims").distinct(), "dims", "left_semi"), versions, ["dims"], c["version"], timestamped), user_timestamps, timestamped)
 
     def get_chunks(self, name: str, dims: list[bytes], size: int) -> DataFrame:
         """(dims, chunk_no, chunk) of one value, cut into pieces of ``size`` bytes."""
-        return reads.chunks(self.get(name, dims), "dims", "value", size)
+        return reads.chunks(self.get(name, dims, kind="big_gets"), "dims", "value", size)
 
-    def _inside(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool, behind: list[bytes] | None = None) -> DataFrame:
+    def _inside(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool, behind: list[bytes] | None = None, user_timestamps: bool = False) -> DataFrame:
         reads.check_bounds(low, low, high)
         least = max((bytes(x[0]) for x in (low, behind or [None]) if x[0] is not None), default=None)
         _, c, log, versions, timestamped = self._view(name, "range_queries", least, high[0])
@@ -351,11 +398,11 @@ class Store:
             log = log.where(d <= F.lit(bytearray(hi))) if hi is not None else log
         if behind is not None:
             log = log.where(F.col("dims") > F.array(*(F.lit(bytearray(d)) for d in behind)))
-        return resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones)
+        return self._stamped(resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones), user_timestamps, timestamped)
 
-    def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True) -> DataFrame:
+    def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True, user_timestamps: bool = False) -> DataFrame:
         """Visible entries inside an inclusive box over keys of that many dimensions, in key order."""
-        out = self._inside(name, low, high, tombstones).orderBy(order_key(F.col("dims")))
+        out = self._inside(name, low, high, tombstones, user_timestamps=user_timestamps).orderBy(order_key(F.col("dims")))
         return out if values else out.select("dims")
 
     def page(self, name: str, low: list[bytes | None], high: list[bytes | None], size: int, last: list[bytes] | None = None) -> DataFrame:
@@ -398,7 +445,20 @@ class Store:
         s = self.state()
         self._check_merge(s, vertree, arrays)
         array, age = self._id(s), min(s["arrays"][str(a)]["data_age"] for a in arrays)
-        return self._publish(s, vertree, array, age, self._merged(s, vertree, arrays, array, age), "MERGE_WORK_FINISHED", replaces=arrays)
+        path = self._write_run(vertree, array, self._merged(s, vertree, arrays, array, age))
+        self._count_discards(s, vertree, self._inputs(s, arrays), path)
+        return self._link(s, vertree, array, age, [path], "MERGE_WORK_FINISHED", replaces=arrays)
+
+    def _count_discards(self, s: dict, vertree: int, before: DataFrame, path: str) -> None:
+        """Add up what a merge dropped of deleted versions and by user timestamps; a row a version comes back."""
+        tree, timestamped = self._tree(s, vertree), s["vertrees"][str(vertree)]["timestamped"]
+        if not timestamped and not any(x.deleted for x in tree.versions.values()):
+            return  # nothing can have gone
+        entries = resolve.newest(before.select("dims", "v", "seq", "uts", "op"), ["dims", "v"], timestamped)
+        after = self.spark.read.schema(STORED).parquet(path)
+        for r in stats.discard_stats(entries, after, ["dims"], tree.frame(self.spark), timestamped).collect():
+            was = s["discards"].get(str(r["v"]), [0, 0])
+            s["discards"][str(r["v"])] = [was[0] + r["version_deletes"], was[1] + r["timestamp_rejects"]]
 
     def merge_start(self, vertree: int, arrays: list[int]) -> int:
         """Begin a merge that goes on by ``merge_work``; its inputs stay readable, and no other merge may take them."""
@@ -427,6 +487,7 @@ class Store:
         age = min(s["arrays"][str(a)]["data_age"] for a in m["arrays"])
         span = (m["units"], min(m["units"] + units, MERGE_UNITS))
         m["paths"].append(self._write_run(m["vertree"], m["output"], self._merged(s, m["vertree"], m["arrays"], m["output"], age, span)))
+        self._count_discards(s, m["vertree"], self._inputs(s, m["arrays"], span), m["paths"][-1])
         m["units"], m["done"] = span[1], m["done"] + self._inputs(s, m["arrays"], span).count()
         if m["units"] < MERGE_UNITS:
             self._change(s, "MERGE_WORK_DONE", m["vertree"], merge)
@@ -482,10 +543,12 @@ class Store:
         return self._rows(rows, "vertree long, array_id long, level int, data_age long, item_count long, nr_bytes long, min_user_ts long, max_user_ts long, is_barrier boolean, merge_state string")
 
     def versions(self, vertree: int) -> DataFrame:
-        """Versions with their place in the tree and what merging their entries counts."""
+        """Versions with their place in the tree, what merging their entries would count, and what merges have dropped."""
         s = self.state()
         counted = stats.version_stats(self.log(vertree, s), ["dims"], s["vertrees"][str(vertree)]["timestamped"])
-        return self._tree(s, vertree).frame(self.spark).join(counted, "v", "left").na.fill(0, ["keys", "tombstones", "tombstone_deletes", "key_replaces"])
+        dropped = self._rows([(int(v), *n) for v, n in s["discards"].items()], "v long, version_deletes long, timestamp_rejects long")
+        out = self._tree(s, vertree).frame(self.spark).withColumn("vertree", F.lit(vertree).cast("long")).join(counted, "v", "left").join(F.broadcast(dropped), "v", "left")
+        return out.na.fill(0, ["keys", "tombstones", "tombstone_deletes", "key_replaces", "version_deletes", "timestamp_rejects"])
 
     def vertrees(self) -> DataFrame:
         s = self.state()
@@ -501,9 +564,22 @@ class Store:
         return self._rows(rows, "merge_id long, vertree long, in_arrays array<long>, out_array long, done long, total long, percent long")
 
     def collections(self) -> DataFrame:
-        """Collections, with the requests that this process has made to each."""
-        rows = [(c["id"], n, c["vertree"], c["version"], c["read_only"], *(self.requests[n, k] for k in ("gets", "puts", "range_queries"))) for n, c in self.state()["collections"].items()]
-        return self._rows(rows, "collection_id long, name string, vertree long, version long, read_only boolean, gets long, puts long, range_queries long")
+        """Collections, with the requests made to each since it was attached.
+
+        Counts outlive a process from its next change or ``save_requests`` on. What
+        reads return is not counted, as they are DataFrames that may never run.
+        """
+        s = self.state()
+        asked = self._asked(s)
+        rows = [(c["id"], n, c["vertree"], c["version"], c["read_only"], *(asked.get(str(c["id"]), {}).get(k, 0) for k in REQUESTS)) for n, c in s["collections"].items()]
+        return self._rows(rows, "collection_id long, name string, vertree long, version long, read_only boolean, " + ", ".join(f"{k} long" for k in REQUESTS))
 
     def events(self) -> DataFrame:
-        return self._rows([tuple(e) for e in self.state()["events"]], "event_id long, ts long, cmd string, args array<long>")
+        """(event_id, ts, cmd, args) of all changes."""
+        self._publish_event(self.state())
+        return self.spark.read.schema(EVENTS).json(f"{self.root}/events")
+
+    def event_stream(self, max_files: int = 1000) -> DataFrame:
+        """The events as a stream: those so far, then each change as it is made."""
+        self._publish_event(self.state())
+        return self.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(f"{self.root}/events")

@@ -71,6 +71,74 @@ def test_user_timestamps(spark, store):
     assert content(store.get("t", [b"k"])) == {("k",): "new"}
 
 
+def test_user_timestamps_only_as_asked(spark, store):
+    _, root = store.create_vertree()
+    store.attach("t", root)
+    store.put("t", rows(spark, (["k"], "x", 10)))
+    assert store.get("t", [b"k"]).first()["uts"] is None
+    assert store.get("t", [b"k"], user_timestamps=True).first()["uts"] == 10
+    assert store.scan("t", [None], [None], user_timestamps=True).first()["uts"] == 10
+    assert store.multi_get("t", rows(spark, (["k"], "", 0)), user_timestamps=True).first()["uts"] == 10
+    _, plain = store.create_vertree(timestamped=False)
+    store.attach("p", plain)
+    with refused("EINVAL"):
+        store.get("p", [b"k"], user_timestamps=True)
+
+
+def test_a_merge_counts_what_it_drops(spark, store):
+    tree, root = store.create_vertree()
+    store.attach("t", root)
+    store.put("t", rows(spark, (["a"], "1", 50), (["b"], "1", 5)))
+    store.snapshot("t")
+    child = store.state()["collections"]["t"]["version"]
+    store.put("t", rows(spark, (["a"], "2", 7), (["b"], "2", 9), (["b"], "3", 10)))  # a's is older than what it would hide
+    dead = store.clone(root)
+    store.attach("d", dead)
+    store.put("d", rows(spark, (["c"], "1", 99), (["c"], "2", 100)))
+    store.detach("d")
+    store.delete_version(dead)
+    before = content(store.scan("t", [None], [None]))
+    merge = store.merge_start(tree, [r["array_id"] for r in store.arrays().collect()])
+    while not store.merge_work(merge, 3):
+        pass
+    assert content(store.scan("t", [None], [None])) == before == {("a",): "1", ("b",): "3"}
+    counted = {r["v"]: (r["vertree"], r["version_deletes"], r["timestamp_rejects"]) for r in store.versions(tree).collect()}
+    assert counted == {root: (tree, 0, 0), child: (tree, 0, 1), dead: (tree, 1, 0)}
+
+
+def test_requests_outlive_a_process(spark, store):
+    _, root = store.create_vertree(timestamped=False)
+    store.attach("c", root)
+    array = store.put("c", rows(spark, (["a"], "1234", 0)))
+    store.put_chunks("c", spark.createDataFrame([([b"k"], 0, b"x" * 600)], "dims array<binary>, chunk_no long, chunk binary"))
+    store.get("c", [b"a"])
+    store.get_chunks("c", [b"k"], 100)
+    store.save_requests()
+    r = Store(spark, store.root).collections().first()
+    assert (r["gets"], r["big_gets"], r["puts"], r["big_puts"]) == (1, 1, 1, 1)
+    assert r["puts_size"] == store.arrays().where(F.col("array_id") == array).first()["nr_bytes"] and r["big_puts_size"] > 600
+    store.detach("c")
+    store.attach("c", root)
+    assert store.collections().first()["gets"] == 0
+
+
+def test_events_as_a_stream(spark, store, tmp_path):
+    def taken():
+        q = store.event_stream().writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/at").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [r["cmd"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("event_id").collect()]
+
+    tree, _ = store.create_vertree()
+    assert taken() == ["VERSION_TREE_CREATED"]
+    # a writer that fails between the catalogue and its event: the next one writes it
+    kept, store._publish_event = store._publish_event, lambda state: None
+    store.set_discard_period(tree, 5)
+    store._publish_event = kept
+    store.destroy_vertree(tree)
+    assert taken() == ["VERSION_TREE_CREATED", "TOMBSTONE_DISCARD_SET", "VERSION_TREE_DESTROYED"]
+    assert [r["event_id"] for r in store.events().orderBy("event_id").collect()] == [1, 2, 3]
+
+
 def test_counters(spark, store):
     tree, root = store.create_vertree(timestamped=False)
     store.attach("n", root)
@@ -194,7 +262,7 @@ def test_large_values(spark, store):
     store.attach("c", root)
     parts = spark.createDataFrame([([b"k"], 1, b"world", 77), ([b"k"], 0, b"hello " * 100, 5)], "dims array<binary>, chunk_no long, chunk binary, uts long")
     store.put_chunks("c", parts)
-    got = store.get("c", [b"k"])
+    got = store.get("c", [b"k"], user_timestamps=True)
     assert content(got) == {("k",): "hello " * 100 + "world"} and got.first()["uts"] == 77
     with refused("EINVAL"):
         store.put_chunks("c", parts.where("chunk_no = 1"))
