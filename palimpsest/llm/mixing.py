@@ -121,7 +121,8 @@ def in_order(rows: DataFrame, time: str, partitions: int | None = None) -> DataF
     Partitions hold equal ranges of time, known without sampling.
     """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.coalesce(F.least(F.floor(F.col(time) * n), F.lit(n - 1)), F.pmod(F.xxhash64("doc_id"), F.lit(n))).cast("int")
+    own = F.when(F.col(time).isNotNull(), F.least(F.floor(F.col(time) * n), F.lit(n - 1)))  # least() alone would pass over a null
+    at = F.coalesce(own, F.pmod(F.xxhash64(*rows.columns), F.lit(n))).cast("int")
     return rows.repartitionById(n, at).sortWithinPartitions(F.col(time).asc_nulls_last(), "doc_id")
 
 

@@ -105,3 +105,14 @@ def test_url_edges(spark):
     assert got[6] == ("org", "org/", "allow") and got[None][1:] == ("com/de/", "block") and got[7] == ("y.com", "com/fr/", "allow")
     assert urls.judge(df, urls.rule_table(spark, URL_RULES)).count() == len(rows)
     assert urls.judge(df.limit(0), urls.rule_table(spark, URL_RULES)).count() == 0
+
+
+def test_documents_that_the_mix_leaves_out_are_dealt_over_all_ranges(spark):
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, id, null) as doc_id", "id as size", "if(id % 4 = 3, id / 4000D, null) as first_read")
+    parts = mixing.in_order(rows, "first_read", 8).withColumn("p", F.spark_partition_id()).collect()
+    assert len(parts) == 4000
+    for p in range(8):
+        own = [r["first_read"] for r in parts if r["p"] == p]
+        assert 300 < own.count(None) < 450
+        times = [t for t in own if t is not None]
+        assert times == sorted(times) and own[: len(times)] == times and all(p / 8 <= t < (p + 1) / 8 for t in times)
