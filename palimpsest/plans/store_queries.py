@@ -56,13 +56,23 @@ def _numbers(rows: DataFrame, *rest: str | Column) -> DataFrame:
     return rows.select(back(0).alias("d0"), back(1).alias("d1"), *rest)
 
 
+def _valued(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("value", F.when(F.col("op") == VALUE, F.col("n").cast("string").cast("binary")))
+
+
 def _writes(rows: DataFrame) -> DataFrame:
-    value = F.when(F.col("op") == VALUE, F.col("n").cast("string").cast("binary"))
-    return rows.select("seq", F.array(_dim("d0"), _dim("d1")).alias("dims"), "op", value.alias("value"), "n", "uts", "v")
+    return _valued(rows.select("seq", F.array(_dim("d0"), _dim("d1")).alias("dims"), "op", "n", "uts", "v"))
+
+
+def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The writes in files of their versions, so that a write of one version reads no others."""
+    path = folder(spark)
+    rows.drop("value").write.partitionBy("v").parquet(path)
+    return _valued(spark.read.schema(rows.drop("value").schema).parquet(path))
 
 
 def history(spark: SparkSession, sf_dir: str) -> tuple[Store, dict]:
-    """The store and what its parts are: tree, versions and arrays by the fixture's numbers.
+    """The store and what its parts are: tree, versions and arrays by the fixture's numbers, and all writes.
 
     Branch "a" goes on to version 7, branch "b" to 8; "t" is a tree of user timestamps
     that took all values first and all tombstones later.
@@ -71,7 +81,7 @@ def history(spark: SparkSession, sf_dir: str) -> tuple[Store, dict]:
     if at in _built:
         return _built[at]
     store = Store(spark, folder(spark), clock=lambda: 1_000)
-    rows = _writes(log(spark, sf_dir, counters=True))
+    rows = _kept(spark, _writes(log(spark, sf_dir, counters=True)))
     tree, root = store.create_vertree(timestamped=False)
     ids, arrays, name = {1: root}, {}, {1: "a"}
     store.attach("a", root)
@@ -88,10 +98,10 @@ def history(spark: SparkSession, sf_dir: str) -> tuple[Store, dict]:
     stamped, top = store.create_vertree()
     store.set_discard_period(stamped, 60)
     store.attach("t", top)
-    plain = _writes(log(spark, sf_dir))
-    store.put("t", plain.where(F.col("op") == VALUE), order="seq")
-    store.remove("t", plain.where(F.col("op") == TOMBSTONE), order="seq")
-    _built[at] = store, {"tree": tree, "stamped": stamped, "versions": ids, "arrays": arrays}
+    # without counters, all that is no tombstone is a value
+    store.put("t", _valued(rows.where(F.col("op") != TOMBSTONE).withColumn("op", F.lit(VALUE))), order="seq")
+    store.remove("t", rows.where(F.col("op") == TOMBSTONE), order="seq")
+    _built[at] = store, {"tree": tree, "stamped": stamped, "versions": ids, "arrays": arrays, "writes": rows}
     return _built[at]
 
 
@@ -151,7 +161,7 @@ def stepwise_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, p = fork(spark, sf_dir)
     merge = store.merge_start(p["tree"], list(p["arrays"].values()))
     store.merge_work(merge, 3)
-    store.remove("a", _writes(log(spark, sf_dir, counters=True)).where("v = 7").drop("op"))
+    store.remove("a", p["writes"].where("v = 7").drop("op"))
     store.merge_work(merge)
     return _numbers(store.scan("b", ALL, ALL), "op", "n")
 
@@ -189,7 +199,7 @@ def collections_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.scan("b", ALL, ALL)
     store.detach("t")
     store.attach("old", p["versions"][3])
-    store.count("b", _writes(log(spark, sf_dir, counters=True)).where(F.col("op") == COUNTER_ADD).drop("op"))
+    store.count("b", p["writes"].where(F.col("op") == COUNTER_ADD).drop("op"))
     store.save_requests()
     store = Store(spark, store.root)
     return store.collections().join(_named(spark, p["versions"], "version"), "version").select("name", F.col("v").alias("version"), "read_only", "gets", "puts", "range_queries")
@@ -259,7 +269,7 @@ def second_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, p = fork(spark, sf_dir)
     store.backup_start(p["tree"])
     store.backup_finish(p["tree"])
-    rows = _writes(log(spark, sf_dir, counters=True))
+    rows = p["writes"]
     store.remove("a", rows.where("v = 7").drop("op"), order="seq")
     store.backup_start(p["tree"])
     store.backup_finish(p["tree"], succeeded=False)

@@ -15,7 +15,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,15 @@ REQUESTS = ("gets", "big_gets", "puts", "puts_size", "big_puts", "big_puts_size"
 _EMPTY = {"next_id": 1, "next_seq": 1, "vertrees": {}, "collections": {}, "arrays": {}, "events": 0, "event": None, "requests": {}, "discards": {}}
 
 
+def _reason() -> Column:
+    """Why a row (dims, op, n) cannot be stored, or null."""
+    return F.coalesce(
+        validate(F.col("dims")),
+        F.when(~F.col("op").isin(*OPS) | F.col("op").isNull(), "EINVAL: operation"),
+        F.when(F.col("op").isin(COUNTER_SET, COUNTER_ADD) & F.col("n").isNull(), "EINVAL: a counter needs 8 bytes"),
+    )
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
@@ -264,17 +273,10 @@ class Store:
     @staticmethod
     def rejects(rows: DataFrame) -> DataFrame:
         """The rows that cannot be stored, with the reason."""
-        reason = F.coalesce(
-            validate(F.col("dims")),
-            F.when(~F.col("op").isin(*OPS) | F.col("op").isNull(), "EINVAL: operation"),
-            F.when(F.col("op").isin(COUNTER_SET, COUNTER_ADD) & F.col("n").isNull(), "EINVAL: a counter needs 8 bytes"),
-        )
-        return rows.withColumn("reason", reason).where("reason is not null")
+        return rows.withColumn("reason", _reason()).where("reason is not null")
 
     def _append(self, s: dict, vertree: int, version: int, rows: DataFrame, order: str | None = None, data_age: int | None = None) -> int:
         rows = rows.select(*(F.col(f) if f in rows.columns else F.lit(None).cast(LOG[f].dataType).alias(f) for f in ("dims", "op", "value", "n", "uts")), (F.col(order) if order else F.monotonically_increasing_id()).cast("long").alias("__at"))
-        if bad := self.rejects(rows).limit(1).collect():
-            raise StoreError("EINVAL", bad[0]["reason"])
         array = self._id(s)
         age = array if data_age is None else data_age
         seq = F.col("__at") + s["next_seq"]
@@ -282,34 +284,39 @@ class Store:
             F.lit(vertree).cast("long").alias("vertree"), F.lit(array).cast("long").alias("array_id"), F.lit(age).cast("long").alias("data_age"), seq.alias("seq"), F.lit(version).cast("long").alias("v"),
             "dims", "op", "value", "n", F.coalesce("uts", F.lit(0)).cast("long").alias("uts"),
         )
-        return self._publish(s, vertree, array, age, log, "NEW_TREE_ADDED")
-
-    def _publish(self, s: dict, vertree: int, array: int, age: int, log: DataFrame, event: str, replaces: list[int] | None = None) -> int:
-        """Write a sorted array, then name it in the catalogue."""
-        return self._link(s, vertree, array, age, [self._write_run(vertree, array, log)], event, replaces)
+        path = self._write_run(vertree, array, log)
+        if (m := self._measure([path]))["reason"]:  # of what was written, so that the rows are not computed once more; no catalogue names it yet
+            self._fs.delete(self._path(path), True)
+            raise StoreError("EINVAL", m["reason"])
+        return self._link(s, vertree, array, age, [path], "NEW_TREE_ADDED", m=m)
 
     def _write_run(self, vertree: int, array: int, log: DataFrame) -> str:
         """Rows sorted by key in a new folder, which no catalogue names yet."""
         path = f"{self.root}/arrays/{vertree}/{array}-{uuid.uuid4().hex[:8]}"
-        by = order_key(F.col("dims"))
-        out = log.select(*LOG.names, F.col("dims")[0].alias("first")).repartitionByRange(by).sortWithinPartitions(by, F.col("v").desc())
+        by = (F.size("dims"), F.col("first"), F.col("dims"))  # the order of keys; plain columns compare faster than a struct
+        out = log.select(*LOG.names, F.get("dims", F.lit(0)).alias("first")).repartitionByRange(*by).sortWithinPartitions(*by, F.col("v").desc())
         out.write.option("parquet.bloom.filter.enabled#first", "true").parquet(path)
         return path
 
-    def _link(self, s: dict, vertree: int, array: int, age: int, paths: list[str], event: str, replaces: list[int] | None = None) -> int:
-        """Name written runs in the catalogue as one array, with its sizes and the bounds of what it holds."""
-        made = self.spark.read.schema(STORED).parquet(*paths)
-        size = F.when(F.col("op").isin(COUNTER_SET, COUNTER_ADD), 16).otherwise(F.coalesce(F.length("value"), F.lit(0))) + key_bytes(F.col("dims"))
-        m = made.agg(
-            F.count(F.lit(1)).alias("items"), F.sum(size).alias("bytes"), F.min("uts").alias("lo"), F.max("uts").alias("hi"), F.max("seq").alias("seq"), F.hex(F.min("first")).alias("low"), F.hex(F.max("first")).alias("high")
-        ).first()
+    def _measure(self, paths: list[str]) -> dict:
+        """What written runs come to, and a reason why some of their rows cannot be stored."""
+        is_counter = F.col("op").isin(COUNTER_SET, COUNTER_ADD)
+        size = F.when(is_counter, 16).otherwise(F.coalesce(F.length("value"), F.lit(0))) + key_bytes(F.col("dims"))
+        return self.spark.read.schema(STORED).parquet(*paths).agg(
+            F.count(F.lit(1)).alias("items"), F.sum(size).alias("bytes"), F.min("uts").alias("lo"), F.max("uts").alias("hi"), F.max("seq").alias("seq"), F.hex(F.min("first")).alias("low"), F.hex(F.max("first")).alias("high"),
+            F.count_if(is_counter).alias("counters"), F.min(_reason()).alias("reason"),
+        ).first().asDict()
+
+    def _link(self, s: dict, vertree: int, array: int, age: int, paths: list[str], event: str, replaces: list[int] | None = None, m: dict | None = None) -> int:
+        """Name written runs in the catalogue as one array, with its sizes and the bounds of what it holds (``m``, if measured already)."""
+        m = m or self._measure(paths)
         if not m["items"] and not replaces:
             return 0  # nothing to link
         for k in replaces or []:
             s["arrays"].pop(str(k))
         s["arrays"][str(array)] = {
             "id": array, "vertree": vertree, "data_age": age, "level": 2, "paths": paths, "items": m["items"], "bytes": m["bytes"] or 0, "min_uts": m["lo"], "max_uts": m["hi"],
-            "low": m["low"], "high": m["high"], "barrier": False, "state": "idle",
+            "low": m["low"], "high": m["high"], "counters": m["counters"], "barrier": False, "state": "idle",
         }
         s["next_seq"] = max(s["next_seq"], (m["seq"] or 0) + 1)
         self._change(s, event, vertree, array)

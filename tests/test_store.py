@@ -324,3 +324,33 @@ def test_merge_in_steps(spark, store):
     assert content(store.scan("c", [None], [None])) == {(f"{i}",): "b" for i in range(20)}
     with refused(112):
         store.merge_work(merge)
+
+
+def computed(spark, rows):
+    """The rows, and an accumulator of how many of them were computed."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(parts):
+        for part in parts:
+            n.add(part.num_rows)
+            yield part
+
+    return rows.mapInArrow(run, rows.schema), n
+
+
+def test_a_write_has_no_pass_of_its_own_for_checks(spark, store, tmp_path):
+    _, root = store.create_vertree(timestamped=False)
+    store.attach("c", root)
+    some, n = computed(spark, rows(spark, *(([f"{i:03}"], "v", 0) for i in range(100))))
+    array = store.put("c", some, order="i")
+    assert n.value == 200  # for the ranges, and for the run
+    assert store.arrays().where(F.col("array_id") == array).first()["item_count"] == 100
+    for bad, why in (([], "no dimensions"), (["x" * 600], "ENAMETOOLONG")):
+        with pytest.raises(StoreError, match=why):
+            store.put("c", rows(spark, (["a"], "v", 0), (bad, "v", 0)), order="i")
+    with pytest.raises(StoreError, match="null dimension"):
+        store.put("c", spark.createDataFrame([([b"a", None], b"v")], "dims array<binary>, value binary"))
+    with pytest.raises(StoreError, match="a counter needs"):
+        store.count("c", spark.createDataFrame([([b"a"], None)], "dims array<binary>, n long"))
+    assert store.arrays().count() == 1 and len([d for d in (tmp_path / "store" / "arrays").glob("*/*") if d.is_dir()]) == 1
+    assert len(content(store.scan("c", [None], [None]))) == 100
