@@ -282,7 +282,7 @@ def array_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a read sees which took the list of arrays before a write, and one after it."""
     store, p = fork(spark, sf_dir)
     before = store.state()
-    store.write("b", _writes(log(spark, sf_dir, counters=True)).where("v = 8"), order="seq")
+    store.write("b", p["writes"].where("v = 8"), order="seq")
     old = store.log(p["tree"], before).agg(F.count(F.lit(1)).alias("before"))
     return old.crossJoin(store.log(p["tree"]).agg(F.count(F.lit(1)).alias("after")))  # one row each
 

@@ -354,3 +354,12 @@ def test_a_write_has_no_pass_of_its_own_for_checks(spark, store, tmp_path):
         store.count("c", spark.createDataFrame([([b"a"], None)], "dims array<binary>, n long"))
     assert store.arrays().count() == 1 and len([d for d in (tmp_path / "store" / "arrays").glob("*/*") if d.is_dir()]) == 1
     assert len(content(store.scan("c", [None], [None]))) == 100
+
+
+def test_a_write_of_one_version_reads_no_other(spark):
+    from palimpsest.plans.store_queries import history
+
+    writes = history(spark, "/root/testdata/sf0.001")[1]["writes"]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = writes.where("v = 8")._jdf.queryExecution().explainString(mode)
+    assert [x for x in plan.splitlines() if x.startswith("PartitionFilters") and "= 8)" in x]
