@@ -61,14 +61,19 @@ def visible(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str],
     return out if tombstones else out.where(F.col("op") != TOMBSTONE)
 
 
-def read(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str], version: int, timestamped: bool = False, tombstones: bool = False) -> DataFrame:
-    """As ``visible``, with counters as a read gives them: op COUNTER_SET and the whole count in n."""
+def read(log: DataFrame, versions: DataFrame | VersionTree, keys: list[str], version: int, timestamped: bool = False, tombstones: bool = False, counted: bool = True) -> DataFrame:
+    """As ``visible``, with counters as a read gives them: op COUNTER_SET and the whole count in n.
+
+    A log without any counter need not be folded: ``counted`` false.
+    """
     seen = lineage(log, versions, version)
     by = ["qv", *keys]
     out = newest(seen, by, timestamped)
-    counted = count(seen, by).where(F.col("op") == COUNTER_SET).select(*by, F.col("n").alias("__n"))
+    if not counted:
+        return out if tombstones else out.where(F.col("op") != TOMBSTONE)
+    counts = count(seen, by).where(F.col("op") == COUNTER_SET).select(*by, F.col("n").alias("__n"))
     is_counter = F.col("op").isin(COUNTER_SET, COUNTER_ADD)
-    out = out.join(counted, by, "left").withColumn("n", F.when(is_counter, F.col("__n")).otherwise(F.col("n"))).withColumn("op", F.when(is_counter, COUNTER_SET).otherwise(F.col("op"))).select(out.columns)
+    out = out.join(counts, by, "left").withColumn("n", F.when(is_counter, F.col("__n")).otherwise(F.col("n"))).withColumn("op", F.when(is_counter, COUNTER_SET).otherwise(F.col("op"))).select(out.columns)
     return out if tombstones else out.where(F.col("op") != TOMBSTONE)
 
 

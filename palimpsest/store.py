@@ -342,8 +342,16 @@ class Store:
         """Load batches of packed records as one array; all or nothing, 0 if aborted or empty."""
         from palimpsest.sources.streamin import decode
 
-        rows = decode(batches, column)
-        return 0 if abort else self.write(name, rows)
+        if abort:
+            return 0
+        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        try:
+            # decoded once, by Python; a write computes its rows twice, for the ranges and for the run
+            rows = decode(batches, column).withColumn("at", F.monotonically_increasing_id())
+            rows.write.parquet(staged)
+            return self.write(name, self.spark.read.schema(rows.schema).parquet(staged), order="at")
+        finally:
+            self._fs.delete(self._path(staged), True)
 
     # reads
 
@@ -366,6 +374,11 @@ class Store:
             out = out.where(F.col("first") <= F.lit(bytearray(high)))
         return out.select(*LOG.names)
 
+    @staticmethod
+    def _counted(s: dict, vertree: int) -> bool:
+        """Whether a tree may hold counters; catalogues of old do not say."""
+        return any(a.get("counters", 1) for a in s["arrays"].values() if a["vertree"] == vertree and not a["barrier"])
+
     def _view(self, name: str, kind: str, low: bytes | None = None, high: bytes | None = None) -> tuple[dict, dict, DataFrame, VersionTree, bool]:
         s = self.state()
         c = self._collection(s, name)
@@ -382,13 +395,13 @@ class Store:
 
     def get(self, name: str, dims: list[bytes], tombstones: bool = False, user_timestamps: bool = False, kind: str = "gets") -> DataFrame:
         first = bytes(dims[0]) if dims else None
-        _, c, log, versions, timestamped = self._view(name, kind, first, first)
+        s, c, log, versions, timestamped = self._view(name, kind, first, first)
         key = F.array(*(F.lit(bytearray(d)) for d in dims))
-        return self._stamped(resolve.read(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones), user_timestamps, timestamped)
+        return self._stamped(resolve.read(log.where(F.col("dims") == key), versions, ["dims"], c["version"], timestamped, tombstones, self._counted(s, c["vertree"])), user_timestamps, timestamped)
 
     def multi_get(self, name: str, wanted: DataFrame, user_timestamps: bool = False) -> DataFrame:
-        _, c, log, versions, timestamped = self._view(name, "gets")
-        return self._stamped(resolve.read(log.join(wanted.select("dims").distinct(), "dims", "left_semi"), versions, ["dims"], c["version"], timestamped), user_timestamps, timestamped)
+        s, c, log, versions, timestamped = self._view(name, "gets")
+        return self._stamped(resolve.read(log.join(wanted.select("dims").distinct(), "dims", "left_semi"), versions, ["dims"], c["version"], timestamped, counted=self._counted(s, c["vertree"])), user_timestamps, timestamped)
 
     def get_chunks(self, name: str, dims: list[bytes], size: int) -> DataFrame:
         """(dims, chunk_no, chunk) of one value, cut into pieces of ``size`` bytes."""
@@ -397,7 +410,7 @@ class Store:
     def _inside(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool, behind: list[bytes] | None = None, user_timestamps: bool = False) -> DataFrame:
         reads.check_bounds(low, low, high)
         least = max((bytes(x[0]) for x in (low, behind or [None]) if x[0] is not None), default=None)
-        _, c, log, versions, timestamped = self._view(name, "range_queries", least, high[0])
+        s, c, log, versions, timestamped = self._view(name, "range_queries", least, high[0])
         log = log.where(F.size("dims") == len(low))
         for i, (lo, hi) in enumerate(zip(low, high)):
             d = F.col("dims")[i]
@@ -405,7 +418,7 @@ class Store:
             log = log.where(d <= F.lit(bytearray(hi))) if hi is not None else log
         if behind is not None:
             log = log.where(F.col("dims") > F.array(*(F.lit(bytearray(d)) for d in behind)))
-        return self._stamped(resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones), user_timestamps, timestamped)
+        return self._stamped(resolve.read(log, versions, ["dims"], c["version"], timestamped, tombstones, self._counted(s, c["vertree"])), user_timestamps, timestamped)
 
     def scan(self, name: str, low: list[bytes | None], high: list[bytes | None], tombstones: bool = False, values: bool = True, user_timestamps: bool = False) -> DataFrame:
         """Visible entries inside an inclusive box over keys of that many dimensions, in key order."""

@@ -363,3 +363,31 @@ def test_a_write_of_one_version_reads_no_other(spark):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     plan = writes.where("v = 8")._jdf.queryExecution().explainString(mode)
     assert [x for x in plan.splitlines() if x.startswith("PartitionFilters") and "= 8)" in x]
+
+
+def test_a_bulk_load_decodes_once(spark, store, tmp_path):
+    _, root = store.create_vertree()
+    store.attach("c", root)
+    batch = streamin.encode_batch([([b"a"], b"1", 5), ([b"b"], b"2", 5), ([b"a"], b"3", 5)])
+    some, n = computed(spark, spark.createDataFrame([(batch,)], "content binary"))
+    assert store.stream_in("c", some) > 0
+    assert n.value == 1
+    assert content(store.scan("c", [None], [None])) == {("a",): "3", ("b",): "2"}
+    assert not list((tmp_path / "store" / "staged").glob("*"))
+
+
+def test_reads_fold_only_where_counters_are(spark, store):
+    plan = lambda: store.scan("c", [None], [None])._jdf.queryExecution().optimizedPlan().toString()
+    _, root = store.create_vertree(timestamped=False)
+    store.attach("c", root)
+    store.put("c", rows(spark, (["a"], "1", 0)))
+    assert "Window" not in plan()
+    store.count("c", spark.createDataFrame([([b"k"], 4)], "dims array<binary>, n long"))
+    store.count("c", spark.createDataFrame([([b"k"], 3)], "dims array<binary>, n long"))
+    assert "Window" in plan()
+    assert store.get("c", [b"k"]).first()["n"] == 7
+    state = store.state()
+    for a in state["arrays"].values():  # a catalogue from before counters were told
+        del a["counters"]
+    store._put_state(state)
+    assert "Window" in plan() and store.get("c", [b"k"]).first()["n"] == 7
